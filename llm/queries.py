@@ -12,6 +12,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_gradient_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.quality import COUNTS, fit_quality, judge
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = judge(documents, fit_quality(documents, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
+
+
 def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.phrase_automata import remove_repeated_phrases
 
@@ -19,6 +27,14 @@ def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.suffix_dedup import remove_repeated_bytes
 
@@ -27,7 +43,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_gradient_boosted_rules": op5_gradient_boosted_rules,
     "op6_phrase_automata": op6_phrase_automata,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 

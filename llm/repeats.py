@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ from llm.text_arrays import U64, Texts, Words, byte_values, gather_spans, groupe
 
 NO_ID = 2**63 - 1
 ID, DEAL = "__repeat_id", "__repeat_deal"
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 BLOB = "shard int, body binary"
 
 
@@ -73,6 +73,11 @@ def joined(table: pa.Table, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
 
 
+def spread(packed: DataFrame, shards: int) -> GroupedData:
+    """Groups by shard, over as many tasks as there are shards: packed rows look small to the planner, their work is not."""
+    return packed.repartition(shards, "shard").groupBy("shard")
+
+
 class Anchors:
     """The k-grams that stand for the windows of some texts, each with the run of windows it stands for."""
 
@@ -132,7 +137,7 @@ def shared_keys(documents: DataFrame, shards: int, unit: str, k: int, width: int
         return pa.Table.from_batches([blob_batch(rows)])
 
     packed = documents.select(ID, DEAL, text).mapInArrow(emit, BLOB)
-    return packed.groupBy("shard").applyInArrow(find, BLOB)
+    return spread(packed, shards).applyInArrow(find, BLOB)
 
 
 def segments(documents: DataFrame, shared: DataFrame, shards: int, unit: str, k: int, width: int, text: str) -> DataFrame:
@@ -245,7 +250,7 @@ def cut_repeats(documents: DataFrame, unit: str, k: int, width: int, resolve: Ca
     rows = dealt(documents, shards, doc_id)
     shared = shared_keys(rows, shards, unit, k, width, text)
     stretches = segments(rows, shared, shards, unit, k, width, text)
-    spans = stretches.groupBy("shard").applyInArrow(lambda table: resolve(Stretches(table), shards), BLOB)
+    spans = spread(stretches, shards).applyInArrow(lambda table: resolve(Stretches(table), shards), BLOB)
     others = [c for c in documents.columns if c not in (text, *(name for _, name, _ in outputs))]
     schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(name, kind) for _, name, kind in outputs])
 
