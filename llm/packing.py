@@ -206,4 +206,4 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CA
     """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     from llm.storage import stored
 
-    return pack_pieces(stored(tokenised_pieces(documents, tokenizer_path, capacity, text, doc_id)), capacity)
+    return pack_pieces(stored(tokenised_pieces(documents, tokenizer_path, capacity, text, doc_id), "pieces"), capacity)

@@ -12,6 +12,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.line_dedup import remove_boilerplate
+
+    out = remove_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+def op3_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.exact_topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.brown_lm import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op5_gradient_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.quality import COUNTS, fit_quality, judge
 
@@ -27,6 +52,12 @@ def op6_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.ngram_join import component_table
+
+    return component_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,11 +74,22 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_warc_reassembly": op2_warc_reassembly,
+    "op3_threshold_topk": op3_threshold_topk,
+    "op4_brown_class_lm": op4_brown_class_lm,
     "op5_gradient_boosted_rules": op5_gradient_boosted_rules,
     "op6_phrase_automata": op6_phrase_automata,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
+def _oracle_sql() -> dict[str, str]:
+    from llm import line_dedup
+
+    return {"op1_line_dedup": line_dedup.SQL}
+
+
 #: DuckDB statements for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = _oracle_sql()

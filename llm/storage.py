@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset, a local folder (for tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """frame, computed once and kept in the shared checkpoint folder; it survives lost executors."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, label: str = "table") -> DataFrame:
+    """frame, computed once and written to the shared folder.
+
+    It survives lost executors, and what reads it knows its size, so joins are planned by it.
+    """
+    path = fresh_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
