@@ -2,9 +2,9 @@
 
 A window is `window` consecutive words of one document.  A word goes if a window that covers it also
 starts in a document with a smaller id; windows are judged on the input.  Each shard confirms which
-phrases recur under two ids, compiles them into an Aho-Corasick automaton (pyahocorasick) over words,
-one code point per word, and streams all stretches of text routed to it through the automaton, so
-that every occurrence is located.  Documents with no stretch that could recur send none; see
+windows recur under two ids, joins neighbouring ones into passages, compiles the passages into an
+Aho-Corasick automaton (pyahocorasick) over words, one code point per word, and streams all stretches
+of text routed to it through the automaton, so that every occurrence is located.  Documents with no stretch that could recur send none; see
 ``llm.repeats`` for the routing and for the defined results on nulls, repeats and empty input.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from llm.repeats import Stretches, cut_repeats
+from llm.text_arrays import U64, grouped, mix, prefix_hashes, window_hashes
 
 WINDOW_WORDS = 13
 KEY_WORDS = 5
@@ -27,37 +28,60 @@ def _letter(n: int) -> str:
     return chr(n + 1 if n + 1 < 0xD800 else n + 0x801)
 
 
+def _same_content(codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts) of groups of windows of equal words: grouped by hash, then compared word by word."""
+    order, starts = grouped(hashes)
+    ranked = at[order]
+    first = np.repeat(ranked[starts[:-1]], np.diff(starts))
+    if all((codes[ranked + i] == codes[first + i]).all() for i in range(window)):
+        return order, starts
+    _, exact = np.unique(codes[at[:, None] + np.arange(window)], axis=0, return_inverse=True)
+    return grouped(exact)
+
+
+def _passages(stretches: Stretches, codes: np.ndarray, bounds: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """(stretch, first word, end, least id) of each maximal run of windows that recur, split where the least id changes."""
+    count = np.maximum(np.diff(bounds) - window + 1, 0)
+    seg = np.repeat(np.arange(len(count)), count)
+    at = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count) + bounds[seg]
+    hashes = window_hashes(prefix_hashes(mix(codes.astype(U64))), window)[at]
+    order, starts = _same_content(codes, at, hashes, window)
+    size = np.diff(starts)
+    low, high = np.minimum.reduceat(stretches.least[seg][order], starts[:-1]), np.maximum.reduceat(stretches.most[seg][order], starts[:-1])
+    least, recurs = np.empty(len(seg), np.int64), np.empty(len(seg), bool)
+    least[order], recurs[order] = np.repeat(low, size), np.repeat(low != high, size)
+    seg, at, least = seg[recurs], at[recurs], least[recurs]
+    if not len(seg):
+        return []
+    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])])
+    run = np.flatnonzero(new)
+    last = np.concatenate([run[1:], [len(seg)]]) - 1
+    base = bounds[seg[run]]
+    return list(zip(seg[run].tolist(), (at[run] - base).tolist(), (at[last] - base + window).tolist(), least[run].tolist(), strict=True))
+
+
 def _locate(stretches: Stretches, shards: int, window: int) -> pa.Table:
     letters: dict[bytes, str] = {}
-    lines = []
-    for text in stretches.texts:
-        lines.append("".join([letters.get(w) or letters.setdefault(w, _letter(len(letters))) for w in text.split()]))
-    least: dict[str, int] = {}
-    most: dict[str, int] = {}
-    for line, low, high in zip(lines, stretches.least.tolist(), stretches.most.tolist(), strict=True):
-        for i in range(len(line) - window + 1):
-            phrase = line[i : i + window]
-            if phrase in least:
-                if low < least[phrase]:
-                    least[phrase] = low
-                if high > most[phrase]:
-                    most[phrase] = high
-            else:
-                least[phrase], most[phrase] = low, high
+    lines = ["".join([letters.get(w) or letters.setdefault(w, _letter(len(letters))) for w in text.split()]) for text in stretches.texts]
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lines])]).astype(np.int64)
+    passages = {lines[s][a:b]: least for s, a, b, least in _passages(stretches, codes, bounds, window)}
+    none = np.zeros(0, np.int64)
+    if not passages:
+        return stretches.cuts(none, none, none, window, shards)
     automaton = ahocorasick.Automaton()
-    for phrase, low in least.items():
-        if low != most[phrase]:
-            automaton.add_word(phrase, low)
-    del least, most
-    seg, pos, first = [], [], []
-    if len(automaton):
-        automaton.make_automaton()
-        for i, line in enumerate(lines):
-            for end, low in automaton.iter(line):
-                seg.append(i)
-                pos.append(end - window + 1)
-                first.append(low)
-    return stretches.cuts(np.array(seg, np.int64), np.array(pos, np.int64), np.array(first, np.int64), window, shards)
+    for passage, least in passages.items():
+        automaton.add_word(passage, (len(passage), least))
+    automaton.make_automaton()
+    hits = np.array([(i, end + 1 - size, size - window + 1, least) for i, line in enumerate(lines) for end, (size, least) in automaton.iter(line)], np.int64).reshape(-1, 4)
+    # each window of a passage that was found, once
+    count = hits[:, 2]
+    pos = np.repeat(hits[:, 1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    seg, least = np.repeat(hits[:, 0], count), np.repeat(hits[:, 3], count)
+    order = np.lexsort((pos, seg))
+    seg, pos, least = seg[order], pos[order], least[order]
+    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (pos[1:] != pos[:-1])])
+    return stretches.cuts(seg[new], pos[new], least[new], window, shards)
 
 
 def remove_repeated_phrases(documents: DataFrame, window: int = WINDOW_WORDS, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:

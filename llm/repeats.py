@@ -35,7 +35,7 @@ from llm.text_arrays import U64, Texts, Words, byte_values, gather_spans, groupe
 
 NO_ID = 2**63 - 1
 ID, DEAL = "__repeat_id", "__repeat_deal"
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOB = "shard int, body binary"
 
 

@@ -23,7 +23,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Sub-batches hold at most this many bytes of text, unless one text alone is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
