@@ -1,14 +1,14 @@
 """Registered queries and their SQL counterparts.
 
 Each entry applies one operator to whole tables.  Record indexes of Parquet tables are defined by the
-primary key's order.  SPARSE is a column that is present in a tenth of the events, to exercise absence.
+primary key's order.  sparse() is a column that is present in a tenth of the events, to exercise absence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerframe.functions import scalars as X
@@ -20,10 +20,13 @@ from ledgerframe.operators import registry
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 Query = Callable[..., DataFrame]
-SPARSE = F.when(F.col("event_id") % 10 == 0, F.col("value"))
 SPARSE_SQL = "CASE WHEN event_id % 10 = 0 THEN value END"
 
 
+def sparse() -> Column:
+    return F.when(F.col("event_id") % 10 == 0, F.col("value"))
+
+
 def query(table: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function of a table (and, for more, of a reader of tables) under its own name."""
 
@@ -136,12 +139,12 @@ def filter_eq_bool(labels):
 
 @query("events", f"SELECT event_id, sparse FROM (SELECT event_id, {SPARSE_SQL} AS sparse FROM events) WHERE NOT coalesce(sparse > 10, false)")
 def filter_not_absent(events):
-    return where(events.select("event_id", SPARSE.alias("sparse")), Not(gt("sparse", 10.0)))
+    return where(events.select("event_id", sparse().alias("sparse")), Not(gt("sparse", 10.0)))
 
 
 @query("events", f"SELECT count(*) FILTER (WHERE coalesce(sparse > 10, false)) AS above, count(*) FILTER (WHERE NOT coalesce(sparse > 10, false)) AS others FROM (SELECT {SPARSE_SQL} AS sparse FROM events)")
 def predicate_truth(events):
-    rows = events.select(SPARSE.alias("sparse"))
+    rows = events.select(sparse().alias("sparse"))
     return rows.agg(F.count_if(truth(rows, gt("sparse", 10.0))).alias("above"), F.count_if(truth(rows, ~gt("sparse", 10.0))).alias("others"))
 
 
@@ -211,7 +214,7 @@ def col_min_max(orders):
 
 @query("events", f"SELECT round(sum({SPARSE_SQL}), 2) AS total FROM events")
 def sum_sparse(events):
-    return reducers.col_sum(events.select(SPARSE.alias("sparse")), "sparse", decimals=2)
+    return reducers.col_sum(events.select(sparse().alias("sparse")), "sparse", decimals=2)
 
 
 @query("events", "SELECT CAST(NULL AS DOUBLE) AS total")
@@ -252,7 +255,7 @@ def dictionary_decode(lineitem):
 
 @query("events", f"SELECT field, present, round(CAST(present * 1000 AS DOUBLE) / n) / 10 AS percent FROM (SELECT 'event_id' AS field, count(event_id) AS present, count(*) AS n FROM events UNION ALL SELECT 'sparse', count({SPARSE_SQL}), count(*) FROM events)")
 def fill_rate(events):
-    return reducers.fill_rate(events.select("event_id", SPARSE.alias("sparse")))
+    return reducers.fill_rate(events.select("event_id", sparse().alias("sparse")))
 
 
 @query("documents", "SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents")
@@ -267,7 +270,7 @@ def latency_percentiles(events):
 
 @query("events", f"SELECT count(DISTINCT ({SPARSE_SQL}) IS NULL) <= 1 AS uniform FROM events")
 def uniform_masks(events):
-    return reducers.is_uniform(events.select("event_id", SPARSE.alias("sparse")))
+    return reducers.is_uniform(events.select("event_id", sparse().alias("sparse")))
 
 
 @query("lineitem", "SELECT 'l_returnflag' AS field, count(*) AS rows, count(DISTINCT l_returnflag) AS n_distinct, count(*) >= 32 AND count(DISTINCT l_returnflag) <= 0.5 * count(*) AS promote FROM lineitem UNION ALL SELECT 'l_shipmonth', count(*), count(DISTINCT l_extendedprice || ''), count(*) >= 32 AND count(DISTINCT l_extendedprice || '') <= 0.5 * count(*) FROM lineitem")
