@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.text_arrays import U64, Texts, Words, byte_values, gather_spans, grouped, minimisers, mix, pack, prefix_hashes, span_hashes, unpack, window_hashes
+from llm.text_arrays import U64, Texts, Words, byte_values, gather_spans, grouped, minimisers, mix, pack, prefix_hashes, release, span_hashes, unpack, window_hashes
 
 NO_ID = 2**63 - 1
 ID, DEAL = "__repeat_id", "__repeat_deal"
@@ -88,7 +88,8 @@ class Anchors:
         values = self.words.hash if self.words else byte_values(texts.data)
         hashes = window_hashes(prefix_hashes(values), k)
         place, self.first, self.last = minimisers(hashes, self.bounds, k, width)
-        self.key = hashes[place] if len(place) else np.zeros(0, U64)
+        # minimisers are small hashes; mixed once more they spread evenly over the shards
+        self.key = mix(hashes[place]) if len(place) else np.zeros(0, U64)
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
 
     def spans(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +125,8 @@ def shared_keys(documents: DataFrame, shards: int, unit: str, k: int, width: int
                 new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
                 keys, docs = keys[new], docs[new]
                 yield blob_batch(list(blob_rows(shard_of(keys, shards), shards, keys, ids[docs], deal[docs])))
+            del keys, docs, order
+            release()
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
         keys, ids, deal = joined(table, "u8", "i8", "i4")
@@ -148,27 +151,31 @@ def segments(documents: DataFrame, shared: DataFrame, shards: int, unit: str, k:
             return SEGMENTS.empty_table()
         known = np.sort(pair_keys(*joined(right, "i8", "u8")))
         ids, deal = left.column(ID).to_numpy(), left.column(DEAL).to_numpy()
-        rows = []
+        parts = []
         for at, part in Texts.of(left.column(text)).chunks():
             a = Anchors(part, unit, k, width)
             probe = pair_keys(ids[a.doc + at], a.key)
             found = np.searchsorted(known, probe)
             which = np.flatnonzero(known[np.minimum(found, len(known) - 1)] == probe)
-            which = which[np.argsort(a.key[which], kind="stable")]
-            if not len(which):
-                continue
-            start, end = a.spans(which)
-            doc, marks = a.doc[which], text_marks(part)
-            shard = shard_of(a.key[which], shards)
-            body, offsets = gather_spans(part.data, start, end)
-            bounds = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
-                i, j = bounds[s], bounds[s + 1]
-                who = doc[i:j]
-                rows.append((int(s), pack(body[offsets[i] : offsets[j]]), pack((end - start)[i:j].astype(np.uint32), ids[who + at], marks[who], (a.first[which[i:j]] - a.bounds[who]).astype(np.int64), deal[who + at])))
+            body, offsets = gather_spans(part.data, *a.spans(which))
+            doc = a.doc[which]
+            parts.append((a.key[which], body, np.diff(offsets), ids[doc + at], text_marks(part)[doc], a.first[which] - a.bounds[doc], deal[doc + at]))
+        keys, body, size, ids, marks, place, deal = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = np.cumsum(size)
+        order = np.argsort(keys, kind="stable")
+        body, offsets = gather_spans(body, (ends - size)[order], ends[order])
+        shard = shard_of(keys[order], shards)
+        heads = [x[order] for x in (size.astype(np.uint32), ids, marks, place.astype(np.int64), deal)]
+        bounds = np.searchsorted(shard, np.arange(shards + 1))
+        rows = []
+        for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
+            i, j = bounds[s], bounds[s + 1]
+            rows.append((int(s), pack(body[offsets[i] : offsets[j]]), pack(*(x[i:j] for x in heads))))
+        release()
         return pa.Table.from_pylist([dict(zip(SEGMENTS.names, r, strict=True)) for r in rows], SEGMENTS)
 
-    return documents.select(ID, DEAL, text).groupBy(DEAL).cogroup(shared.groupBy("shard")).applyInArrow(cut, "shard int, body binary, heads binary")
+    # all columns, as in the last step, so that one exchange of the documents serves both
+    return documents.groupBy(DEAL).cogroup(shared.groupBy("shard")).applyInArrow(cut, "shard int, body binary, heads binary")
 
 
 SEGMENTS = pa.schema([("shard", pa.int32()), ("body", pa.binary()), ("heads", pa.binary())])
@@ -250,7 +257,14 @@ def cut_repeats(documents: DataFrame, unit: str, k: int, width: int, resolve: Ca
     rows = dealt(documents, shards, doc_id)
     shared = shared_keys(rows, shards, unit, k, width, text)
     stretches = segments(rows, shared, shards, unit, k, width, text)
-    spans = spread(stretches, shards).applyInArrow(lambda table: resolve(Stretches(table), shards), BLOB)
+
+    def compare(table: pa.Table) -> pa.Table:
+        try:
+            return resolve(Stretches(table), shards)
+        finally:
+            release()
+
+    spans = spread(stretches, shards).applyInArrow(compare, BLOB)
     others = [c for c in documents.columns if c not in (text, *(name for _, name, _ in outputs))]
     schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(name, kind) for _, name, kind in outputs])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from llm.repeats import Stretches, cut_repeats
-from llm.text_arrays import U64, grouped
+from llm.text_arrays import U64
 
 WINDOW_BYTES = 50
 KEY_BYTES = 20
@@ -31,44 +31,49 @@ def _digits(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_groups(data: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (places in `at`) whose content occurs under two ids, and the least id of each one's content."""
+def _sorted_groups(data: np.ndarray, at: np.ndarray, seg: np.ndarray, stretches: Stretches, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (numbers into `at`, ascending) whose content occurs under two ids, and the least id of each one's content."""
     digits = _digits(data)
-    index = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
+    index = np.arange(len(at), dtype=np.int32)
+    group = np.zeros(len(at), np.int32)
     depths = [*range(0, window - 7, 8)]
     if depths[-1] + 8 < window:
         depths.append(window - 8)
-    first = np.zeros(0, np.int64)
+    low = np.zeros(0, np.int64)
     for depth in depths:
         digit = digits[at[index] + depth]
-        order = np.argsort(digit, kind="stable")
-        order = order[np.argsort(group[order], kind="stable")]
+        order = np.argsort(digit, kind="stable").astype(np.int32)
+        if depth:
+            order = order[np.argsort(group[order], kind="stable")]
         index, digit, group = index[order], digit[order], group[order]
+        del order
         new = np.ones(len(index), bool)
         new[1:] = (digit[1:] != digit[:-1]) | (group[1:] != group[:-1])
         starts = np.flatnonzero(new)
         if not len(starts):
             break
         size = np.diff(np.concatenate([starts, [len(index)]]))
-        low, high = np.minimum.reduceat(least[index], starts), np.maximum.reduceat(most[index], starts)
-        stay = np.repeat(low != high, size)
-        first = np.repeat(low, size)[stay]
-        index = index[stay]
-        group = np.repeat(np.arange(len(starts)), size)[stay]
-    return index, first
+        low = np.minimum.reduceat(stretches.least[seg[index]], starts)
+        stays = low != np.maximum.reduceat(stretches.most[seg[index]], starts)
+        index = index[np.repeat(stays, size)]
+        low, size = low[stays], size[stays]
+        group = np.repeat(np.arange(len(low), dtype=np.int32), size)
+    first = low[group] if len(group) else np.zeros(0, np.int64)
+    order = np.argsort(index, kind="stable")
+    return index[order], first[order]
 
 
 def _radix(stretches: Stretches, shards: int, window: int) -> pa.Table:
-    size = np.array([len(t) for t in stretches.texts], np.int64)
-    base = np.concatenate([[0], np.cumsum(size)])
+    size = np.array([len(t) for t in stretches.texts], np.int32)
+    base = np.cumsum(size, dtype=np.int32) - size
     data = np.frombuffer(b"".join(stretches.texts), np.uint8)
     count = size - window + 1
-    seg = np.repeat(np.arange(len(size)), count)
-    pos = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-    index, first = _sorted_groups(data, base[seg] + pos, stretches.least[seg], stretches.most[seg], window)
-    order, _ = grouped(index)
-    return stretches.cuts(seg[index[order]], pos[index[order]], first[order], window, shards)
+    seg = np.repeat(np.arange(len(size), dtype=np.int32), count)
+    opens = np.cumsum(count, dtype=np.int32) - count
+    at = np.arange(len(seg), dtype=np.int32) + (base - opens)[seg]
+    index, first = _sorted_groups(data, at, seg, stretches, window)
+    seg = seg[index].astype(np.int64)
+    return stretches.cuts(seg, at[index] - base[seg].astype(np.int64), first, window, shards)
 
 
 def remove_repeated_bytes(documents: DataFrame, window: int = WINDOW_BYTES, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ runs of bytes other than space and 0x09-0x0D, which is what ``[^\\x20\\x09-\\x0D
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,20 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Sub-batches hold at most this many bytes of text, unless one text alone is longer.
 CHUNK_BYTES = 1 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its allocator decides by itself
+    _libc = None
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that workers kept for later tasks stay small."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2**64."""
     have = len(_powers[0])
