@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from llm import line_dedup, oracles
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,11 +87,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": op9_suffix_dedup,
 }
 
-def _oracle_sql() -> dict[str, str]:
-    from llm import line_dedup
-
-    return {"op1_line_dedup": line_dedup.SQL}
-
-
-#: DuckDB statements for the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = _oracle_sql()
+#: DuckDB statements for the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.SQL,
+    "op2_warc_reassembly": oracles.WARC,
+    "op3_threshold_topk": oracles.TOP_K,
+    "op6_phrase_automata": oracles.PHRASES,
+    "op7_ngram_jaccard_join": oracles.JACCARD,
+    "op9_suffix_dedup": oracles.BYTES,
+}
