@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.storage import stored
+from llm.storage import largest, stored
 from llm.text_arrays import U64, Texts, Words, mix
 
 EXCHANGE_WORDS = 1_024
@@ -218,7 +218,7 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     training = rows.where(~held_out(F.col("doc_id")))
     counts = stored(_word_counts(training), "words")
-    head = counts.orderBy(F.desc("n"), "key").limit(HEAD_WORDS).toPandas()
+    head = largest(counts, "n", HEAD_WORDS).toPandas().sort_values(["n", "key"], ascending=[False, True])
     order = np.argsort(head["key"].to_numpy(np.int64).view(U64))
     head_key, head_n = head["key"].to_numpy(np.int64).view(U64)[order], head["n"].to_numpy(np.int64)[order]
     common = head["key"].to_numpy(np.int64).view(U64)
