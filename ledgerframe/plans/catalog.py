@@ -16,6 +16,7 @@ from ledgerframe.functions.predicates import Not, eq, first_match, gt, lt, truth
 from ledgerframe.operators import inference, ordinals, reducers
 from ledgerframe.operators import records as R
 from ledgerframe.operators import registry
+from ledgerframe.plans import format_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -477,3 +478,7 @@ def parent_spans(events):
     child = events.select("user_id", "event_id", "value", (F.col("event_id") - 1).alias("parent_id"))
     found = child.join(parent.withColumn("known", F.lit(True)), ["user_id", "parent_id"], "left")
     return found.select("event_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.round(F.col("value") - F.col("parent_value"), 6).alias("change"))
+
+
+QUERIES |= format_queries.QUERIES
+ORACLE_SQL |= format_queries.ORACLE_SQL
