@@ -8,10 +8,11 @@ meet in the shard of a shared early shingle.
 1. Shingles that are frequent within batches of documents are counted.  The most frequent (a bounded
    list) come last in the order; the list changes cost only, never results.
 2. Each document becomes one row with its early shingles; documents with equal sets become one node.
-3. Shards of the shingle space keep shingles that two nodes or more share.  Round one proposes, for
-   each, a star around one node; round two proposes every remaining pair that is not yet in one
-   component and has room for the overlap.  A group of thousands of near copies thus costs a pair per
-   member, and no link between different components is missed.
+3. Shards of the shingle space keep shingles that two nodes or more share.  A few rounds propose a
+   few pairs for each node, with nodes of other components that share the most; the last round
+   proposes every remaining pair that is not yet in one component and has room for the overlap.  A
+   group of thousands of near copies thus costs a few pairs per member, and no link between different
+   components is missed.
 4. Proposed pairs are verified on full sets: a node's candidates are stored, in global order, in a
    prefix tree, and one descent counts the overlaps with all of them, sharing partial overlaps along
    common prefixes and leaving subtrees whose remaining lengths cannot reach the bound.
@@ -24,17 +25,17 @@ pass through `component_table` not at all and through `keep_one` unchanged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.components import components
 from llm.repeats import BLOB, NO_ID, blob_batch, blob_rows, joined, shard_count, shard_of, spread
-from llm.storage import stored
+from llm.storage import largest, stored
 from llm.text_arrays import U64, Texts, Words, grouped, mix, pack, prefix_hashes, span_hashes, unpack, window_hashes
 
 SHINGLE_WORDS = 5
@@ -42,6 +43,8 @@ PERCENT = 80
 #: Entries of the list of frequent shingles: 12 bytes each in every task.
 FREQUENT = 1 << 18
 COUNT_TOKENS = 2_000_000
+#: Pairs that a node is offered in each round before the one that proposes all that are left.
+OFFERS = (2, 6)
 #: Candidates of one node that are verified in one group.
 PROBE_PAIRS = 4_096
 BLOOM_BITS = 1 << 26
@@ -93,7 +96,7 @@ def _frequent(documents: DataFrame, text: str, width: int) -> tuple[np.ndarray,
         yield flush()
 
     counts = documents.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    top = largest(stored(counts, "frequent"), "n", FREQUENT).toPandas()
     keys, n = top["key"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], np.minimum(np.log2(np.maximum(n[order], 1)).astype(np.int64), 15).astype(U64)
@@ -134,7 +137,7 @@ def profiles(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], widt
 
 
 def shared_items(nodes: DataFrame, shards: int) -> DataFrame:
-    """(shard, item, node, n, place) of the early items that two nodes or more have."""
+    """(shard, packed item, node, n, place) of the early items that two nodes or more have: one row a shard."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,11 +157,60 @@ def shared_items(nodes: DataFrame, shards: int) -> DataFrame:
         keys, node, n, place = joined(table, "u8", "i8", "u4", "u4")
         order, starts = grouped(keys)
         order = order[np.repeat(np.diff(starts) > 1, np.diff(starts))]
-        columns = [pa.array(np.full(len(order), key[0].as_py()), pa.int32()), pa.array(keys[order].view(np.int64)), pa.array(node[order]), pa.array(n[order].astype(np.int64)), pa.array(place[order].astype(np.int64))]
-        return pa.Table.from_arrays(columns, ["shard", "item", "node", "n", "place"])
+        rows = [(key[0].as_py(), pack(*(x[order] for x in (keys, node, n, place))))] if len(order) else []
+        return pa.Table.from_batches([blob_batch(rows)])
 
     packed = nodes.select("node", "n", "early").mapInArrow(emit, BLOB)
-    return spread(packed, shards).applyInArrow(find, "shard int, item long, node long, n long, place long")
+    return spread(packed, shards).applyInArrow(find, BLOB)
+
+
+ITEM_KINDS = ("u8", "i8", "u4", "u4")
+
+
+def node_homes(shared: DataFrame) -> DataFrame:
+    """(node, shards): where each node has shared items.  As many rows as early items at most, before they are grouped."""
+
+    def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                node = np.unique(unpack(body, *ITEM_KINDS)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), shard, np.int32))], ["node", "shard"])
+
+    return shared.mapInArrow(nodes_of, "node long, shard int").groupBy("node").agg(F.collect_list("shard").alias("shards"))
+
+
+def labels_by_shard(known: DataFrame | None, homes: DataFrame, shards: int) -> DataFrame:
+    """(shard, packed node and component) of the nodes that are in a component with a smaller one."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes_of = batch.column(2)
+            size = np.array(homes_of.value_lengths().to_pylist(), np.int64)
+            shard = homes_of.flatten().to_numpy().astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            node, component = (np.repeat(batch.column(i).to_numpy(), size)[order] for i in (0, 1))
+            yield blob_batch(list(blob_rows(shard[order], shards, node, component)))
+
+    if known is None:
+        return homes.limit(0).select(F.lit(0).cast("int").alias("shard"), F.lit(b"").alias("body"))
+    return known.where("node <> component").join(homes, "node").select("node", "component", "shards").mapInArrow(emit, BLOB)
+
+
+def by_shard(shared: DataFrame, labels: DataFrame, shards: int, propose: Callable[..., pa.Table], schema: str) -> DataFrame:
+    """propose(item, node, n, place, component) of every shard."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        item, node, n, place = joined(left, *ITEM_KINDS)
+        known, component = joined(right, "i8", "i8")
+        comp = node.copy()
+        if len(known):
+            order = np.argsort(known)
+            known, component = known[order], component[order]
+            at = np.minimum(np.searchsorted(known, node), len(known) - 1)
+            comp = np.where(known[at] == node, component[at], node)
+        return propose(item, node, n.astype(np.int64), place.astype(np.int64), comp)
+
+    return shared.repartition(shards, "shard").groupBy("shard").cogroup(labels.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, schema)
 
 
 def _room(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -172,26 +224,38 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
 
-def star_pairs(shared: DataFrame, shards: int, percent: int) -> DataFrame:
-    """For each shared item, pairs of its least node with the others."""
-
-    def propose(key: tuple, table: pa.Table) -> pa.Table:
-        item, node, n, place = (table.column(c).to_numpy() for c in ("item", "node", "n", "place"))
-        order = np.lexsort((node, item))
-        item, node, n, place = item[order], node[order], n[order], place[order]
-        new = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-        center = np.repeat(new, np.diff(np.concatenate([new, [len(item)]])))
-        ok = (node != node[center]) & _room(n, place, n[center], place[center], percent)
-        return _pairs([node[center][ok]], [node[ok]])
-
-    return spread(shared, shards).applyInArrow(propose, "a long, b long").distinct()
+def offered_pairs(shared: DataFrame, labels: DataFrame, shards: int, percent: int, most: int, seed: int, tried: DataFrame | None) -> DataFrame:
+    """For each node, up to `most` pairs with nodes of other components, linear in the shared items.
 
+    In a few orders that depend on the seed, each item's group offers neighbours to each other.  Of a
+    node's offers that leave room for the overlap and aren't tried yet, those with the most shared items are taken.
+    """
 
-def cross_pairs(shared: DataFrame, shards: int, percent: int) -> DataFrame:
+    def propose(item: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray) -> pa.Table:
+        pairs = [np.zeros((0, 3), np.int64)]
+        for k in range(most):
+            order = np.lexsort((mix(node.astype(U64) + U64(1000 * seed + k)), item))
+            i, j = order[:-1], order[1:]
+            i, j = (x[(item[i] == item[j]) & (comp[i] != comp[j])] for x in (i, j))
+            i, j = (x[_room(n[i], place[i], n[j], place[j], percent)] for x in (i, j))
+            pairs.append(np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), item[i].view(np.int64)]), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)[:, :2]  # an item counts once for a pair
+        pairs, times = np.unique(pairs, axis=0, return_counts=True)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], ["a", "b", "n"])
+
+    offers = by_shard(shared, labels, shards, propose, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    offers = offers.join(tried, ["a", "b"], "left_anti") if tried is not None else offers
+    best = Window.partitionBy("node").orderBy(F.desc("n"), F.xxhash64("a", "b"))
+    ranked = offers.withColumn("node", F.explode(F.array("a", "b"))).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= most).select("a", "b").distinct()
+
+
+def cross_pairs(shared: DataFrame, labels: DataFrame, shards: int, percent: int) -> DataFrame:
     """For each shared item, every pair of nodes of different components that has room for the overlap."""
 
-    def propose(key: tuple, table: pa.Table) -> pa.Table:
-        item, node, n, place, comp = (table.column(c).to_numpy() for c in ("item", "node", "n", "place", "component"))
+    def propose(item: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray) -> pa.Table:
+        if not len(item):
+            return _pairs([], [])
         order = np.lexsort((n, item))
         item, node, n, place, comp = item[order], node[order], n[order], place[order], comp[order]
         new = np.concatenate([[True], item[1:] != item[:-1]])
@@ -218,7 +282,7 @@ def cross_pairs(shared: DataFrame, shards: int, percent: int) -> DataFrame:
             step += 1
         return _pairs(a, b)
 
-    return spread(shared, shards).applyInArrow(propose, "a long, b long").distinct()
+    return by_shard(shared, labels, shards, propose, "a long, b long").distinct()
 
 
 class PrefixTree:
@@ -297,10 +361,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, shards: int, width: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """The pairs, each with whether its sets are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("id"), "s1"), "wanted")
+def node_bodies(homes: DataFrame, documents: DataFrame, nodes: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
+    """(node, text compressed) of every node that shares an early item, in one pass over the documents."""
+    wanted = stored(nodes.join(homes.select("node"), "node", "left_semi").select("node", F.col("id").alias("id"), "s1"), "wanted")
     table = zstandard.ZstdCompressor(level=1).compress(_bloom(wanted.select("id")).tobytes())
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +385,11 @@ def verified(pairs: DataFrame, documents: DataFrame, nodes: DataFrame, shards: i
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[first : first + part.n]]), pa.array(s1), pa.array(blobs, pa.binary())], ["id", "s1", "body"])
 
     rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text)).mapInArrow(pick, "id long, s1 long, body binary")
-    bodies = stored(rows.join(wanted, ["id", "s1"]).dropDuplicates(["node"]).select("node", "body"), "bodies")
+    return stored(rows.join(wanted, ["id", "s1"]).dropDuplicates(["node"]).select("node", "body"), "bodies")
+
+
+def verified(pairs: DataFrame, bodies: DataFrame, shards: int, width: int, percent: int) -> DataFrame:
+    """The pairs, each with whether its sets are similar."""
     # a node with very many candidates is dealt over several groups, each of about PROBE_PAIRS
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PROBE_PAIRS).alias("parts"))
     shard = F.pmod(F.xxhash64("a", "part"), F.lit(shards)).cast("int").alias("shard")
@@ -361,12 +428,20 @@ def component_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: i
     sets = rows.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("early").alias("early"))
     nodes = stored(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     shared = stored(shared_items(nodes, shards), "shared")
-    first = verified(stored(star_pairs(shared, shards, percent), "pairs"), documents, nodes, shards, width, percent, text, doc_id)
-    links = first.where("linked").select("a", "b")
-    known = components(links)
-    labelled = shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = stored(cross_pairs(labelled, shards, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    second = verified(rest, documents, nodes, shards, width, percent, text, doc_id)
+    homes = stored(node_homes(shared), "homes")
+    bodies = node_bodies(homes, documents, nodes, width, text, doc_id)
+    links = tried = known = None
+    for turn, most in enumerate(OFFERS):
+        labels = labels_by_shard(known, homes, shards)
+        done = verified(stored(offered_pairs(shared, labels, shards, percent, most, turn, tried), "pairs"), bodies, shards, width, percent)
+        found = done.where("linked").select("a", "b")
+        links, tried = (links.unionByName(found), tried.unionByName(done.select("a", "b"))) if tried is not None else (found, done.select("a", "b"))
+        if found.isEmpty():
+            break
+        known = components(links)
+    labels = labels_by_shard(known, homes, shards)
+    rest = stored(cross_pairs(shared, labels, shards, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    second = verified(rest, bodies, shards, width, percent)
     whole = components(links.unionByName(second.where("linked").select("a", "b")))
     placed = nodes.select("node", "s1", "s2", "id").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
