@@ -1,10 +1,12 @@
 """Language-model scoring with class-based bigrams from exchange clustering.
 
-A word's class is found by exchange clustering for the words with the most bigram evidence: words
-move, one at a time, to the class that most raises the class bigram likelihood, until none moves.  The
-other words - however rare, and words never seen - belong to a class by their form (length, last
-bytes, letters outside ASCII), so every token has a class and no table of all words is ever
-broadcast.  The model is
+A word's class is found by exchange clustering.  The words with the most bigram evidence move first, one
+at a time, to the class that most raises the class bigram likelihood, until none moves.  Then every word
+that training holds EXCHANGE_COUNT times or more is put, in SWEEPS sweeps, where the same gain is
+largest: Spark counts each word's neighbours by class over all training text, and the words of a sweep
+move together, each judged as if the others stayed.  Only rarer words and words never seen belong to a
+class by their form (length, last bytes, letters outside ASCII).  Classes are a table that words meet in
+a join, so no table of all words is ever broadcast.  The model is
 
     P(word | previous) = P(class | previous class) * P(word | class)
 
@@ -12,8 +14,10 @@ with class transitions interpolated with class frequencies, and additive smoothi
 leaves a share to unseen words.  A token that ends each text is a word of a class of its own.
 
 All counts are over all training documents and are aggregated by Spark.  What tasks hold has a proven
-bound: EXCHANGE_WORDS words with their classes, HEAD_WORDS frequent words with their counts (the
-others meet their counts in a join), and the square of the number of classes.
+bound: HEAD_WORDS frequent words with their counts and classes (the others meet theirs in a join), the
+bigrams of EXCHANGE_WORDS of them, and the square of the number of classes.  As neighbours in a sweep,
+words outside the HEAD_WORDS stand with their form; the transitions of the model are between the classes
+that all words have in the end.
 
 Defined results: null text counts as empty, which is the end token alone; a null id is in training;
 no training text gives a uniform model over unseen words; repeated rows are scored and counted one by
@@ -31,9 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.storage import largest, stored
-from llm.text_arrays import U64, Texts, Words, mix
+from llm.text_arrays import U64, Texts, Words, mix, release
 
+#: Words that are exchanged one at a time, before the sweeps over all.
 EXCHANGE_WORDS = 1_024
+#: Least occurrences in training of a word that is exchanged.
+EXCHANGE_COUNT = 3
+SWEEPS = 2
+SWEEP_TOKENS = 1_000_000
+#: Counts whose gains are held ready in a sweep.
+SMALL = 32
 CLASSES = 96
 FORMS = 128
 HEAD_WORDS = 1 << 16
@@ -43,6 +54,8 @@ INTERPOLATION = 0.95
 #: The hash of the end token; no word's hash is known to equal it.
 END = U64(0x5851F42D4C957F2D)
 END_CLASS = CLASSES + FORMS
+#: Codes of a word's neighbours: their class before it, then after it; the word itself after and before it.
+AFTER, SELF_AFTER, SELF_BEFORE, CODES = END_CLASS + 1, 2 * END_CLASS + 2, 2 * END_CLASS + 3, 512
 
 
 def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -128,7 +141,7 @@ class Tokens:
 
 @dataclass
 class WordClasses:
-    """Classes of the exchanged words by hash (ascending); the others' come from their form."""
+    """Classes of the most frequent words by hash (ascending); the others' come from their form."""
 
     keys: np.ndarray
     classes: np.ndarray
@@ -192,23 +205,144 @@ def _bigrams(training: DataFrame, keys: np.ndarray) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def _transitions(training: DataFrame, model: WordClasses) -> np.ndarray:
-    """Counts of class pairs; the row of END_CLASS is the start of a text."""
-    k = END_CLASS + 1
+def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray) -> DataFrame:
+    """(key, codes): the coded neighbours of each word outside the core, with their counts, from all training text.
+
+    The rows of keys below AFTER are not words: they hold the classes that follow each class.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
+        held, size, total = [], 0, np.zeros(AFTER * AFTER, np.int64)
+
+        def flush() -> pa.RecordBatch:
+            keys, codes = (np.concatenate([np.zeros(0, t), *(h[i] for h in held)]) for i, t in enumerate((U64, np.int64)))
+            order = np.lexsort((codes, keys))
+            keys, codes = keys[order], codes[order]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])])) if len(keys) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([new, [len(keys)]]))
+            return listed(keys[new], codes[new] + CODES * n)
+
+        def listed(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(keys)]]).astype(np.int32)), pa.array(values))
+            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), lists], ["key", "codes"])
+
         for batch in batches:
             for _, part in Texts.of(batch.column(0)).chunks():
-                c = Tokens(part).classes(model)
-                if len(c):
-                    before = np.concatenate([[END_CLASS], c[:-1]])  # after an end a text starts
-                    total += np.bincount(before * k + c, minlength=k * k)
+                tokens = Tokens(part)
+                if not len(tokens.key):
+                    continue
+                c, key = tokens.classes(model), tokens.key
+                before, after = np.concatenate([[END_CLASS], c[:-1]]), np.concatenate([c[1:], [END_CLASS]])
+                total += np.bincount(before * AFTER + c, minlength=len(total))
+                same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+                before = np.where(same[:-1], SELF_BEFORE, before)
+                after = np.where(same[1:], SELF_AFTER, after + AFTER)
+                at = np.flatnonzero(tokens.is_word)
+                if len(core):
+                    at = at[core[np.minimum(np.searchsorted(core, key[at]), len(core) - 1)] != key[at]]
+                held.append((np.concatenate([key[at], key[at]]), np.concatenate([before[at], after[at]])))
+                size += len(at)
+                if size > SWEEP_TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        yield flush()
+        held.clear()
+        release()
+        cells = np.flatnonzero(total)
+        yield listed((cells // AFTER).astype(U64), cells % AFTER + CODES * total[cells])
+
+    rows = training.select("text").mapInArrow(count, "key long, codes array<long>")
+    return stored(rows.groupBy("key").agg(F.flatten(F.collect_list("codes")).alias("codes")), "neighbours")
+
+
+def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """row, code and n of each entry of a column of coded lists."""
+    values = column.flatten().to_numpy()
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    return row, values % CODES, values // CODES
+
+
+def placed_words(neighbours: DataFrame, model: WordClasses, used: int) -> DataFrame:
+    """(key, class, n) of the words with EXCHANGE_COUNT occurrences: of the first `used` classes, the one of most gain."""
+    table = np.zeros((AFTER, AFTER))
+    for row in neighbours.where(F.col("key").between(0, END_CLASS)).collect():  # a row a class
+        codes = np.array(row.codes, np.int64)
+        np.add.at(table[row.key], codes % CODES, codes // CODES)
+    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    after, before, corner = table.sum(1)[:used], table.sum(0)[:used], np.diag(table)[:used]
+
+    def gained(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return xlogx(cells + n) - xlogx(cells)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # right and left neighbours: for each of their classes a row with the cells of all classes, and what these gain by 1, 2, ...
+        sides = [(cells, np.stack([gained(cells, n) for n in range(1, SMALL + 1)])) for cells in (table[:used].T, table[:, :used])]
+        for whole in batches:
+            ends = whole.column(1).offsets.to_numpy()[1:] - whole.column(1).offsets.to_numpy()[0]
+            at = 0
+            while at < whole.num_rows:  # some thousand neighbours at a time
+                to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8192, "right"))), at + 512)
+                yield place_some(whole.slice(at, to - at), sides)
+                at = to
+        release()
+
+    def place_some(batch: pa.RecordBatch, sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        m, keys = batch.num_rows, batch.column(0).to_numpy().view(U64)
+        row, code, n = _coded(batch.column(1))
+        dense = np.bincount(row * CODES + code, weights=n, minlength=m * CODES).reshape(m, CODES)
+        left, right, self_n = dense[:, :AFTER], dense[:, AFTER:SELF_AFTER], dense[:, SELF_AFTER]
+        now = np.full(m, END_CLASS)
+        if len(model.keys):
+            found = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
+            now = np.where(model.keys[found] == keys, model.classes[found], END_CLASS)
+        inside = np.flatnonzero(now < used)  # these are in the cells of their own class already
+        gain = np.zeros((m, used))
+        own = np.zeros(m)
+        for side, (cells, ready) in zip((right, left), sides, strict=True):
+            word, c = np.nonzero(side)
+            if not len(word):
+                continue
+            n = side[word, c].astype(np.int64)
+            parts = ready[np.minimum(n, SMALL) - 1, c]
+            large = np.flatnonzero(n > SMALL)
+            parts[large] = gained(cells[c[large]], n[large, None])
+            held = np.flatnonzero(now[word] < used)
+            cell = cells[c[held], now[word[held]]]
+            own += np.bincount(word[held], weights=xlogx(cell) - xlogx(np.maximum(cell - n[held], 0)), minlength=m)
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            gain[word[first]] += np.add.reduceat(parts, first, axis=0)
+        r, l, size = right[:, :used], left[:, :used], (right.sum(1) + self_n, left.sum(1) + self_n)
+        gain += gained(corner, r + l + self_n[:, None]) - gained(corner, r) - gained(corner, l)  # the corner cell gets both sides and the word's own pairs
+        gain -= gained(after, size[0][:, None]) + gained(before, size[1][:, None])
+        at = now[inside]
+        lost = lambda cells, n: xlogx(cells) - xlogx(np.maximum(cells - n, 0))
+        corners = [lost(corner[at], x[inside]) for x in (r[np.arange(m), np.minimum(now, used - 1)], l[np.arange(m), np.minimum(now, used - 1)], (r + l)[np.arange(m), np.minimum(now, used - 1)] + self_n)]
+        gain[inside, at] = own[inside] + corners[2] - corners[0] - corners[1] - lost(after[at], size[0][inside]) - lost(before[at], size[1][inside])
+        times = (left.sum(1) + dense[:, SELF_BEFORE]).astype(np.int64)
+        enough = times >= EXCHANGE_COUNT
+        return _batch("key class n", keys[enough].view(np.int64), np.argmax(gain, axis=1)[enough].astype(np.int32), times[enough])
+
+    words = neighbours.where(~F.col("key").between(0, END_CLASS))
+    return stored(words.mapInArrow(place, "key long, class int, n long"), "classes")
+
+
+def _transitions(sequences: DataFrame) -> np.ndarray:
+    """Counts of class pairs in the class sequences; the row of END_CLASS is the start of a text."""
+    k = AFTER
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            c = Texts.of(batch.column(0)).data.astype(np.int64)
+            if len(c):
+                before = np.concatenate([[END_CLASS], c[:-1]])  # after an end a text starts
+                total += np.bincount(before * k + c, minlength=k * k)
         cells = np.flatnonzero(total)
         yield _batch("cell n", cells, total[cells])
 
     out = np.zeros(k * k, np.int64)
-    rows = training.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = sequences.select("classes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out[rows.cell.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     return out.reshape(k, k)
 
@@ -221,36 +355,41 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     head = largest(counts, "n", HEAD_WORDS).toPandas().sort_values(["n", "key"], ascending=[False, True])
     order = np.argsort(head["key"].to_numpy(np.int64).view(U64))
     head_key, head_n = head["key"].to_numpy(np.int64).view(U64)[order], head["n"].to_numpy(np.int64)[order]
+    head_class = head["form"].to_numpy(np.int64)[order]
     common = head["key"].to_numpy(np.int64).view(U64)
     common = np.sort(common[common != END][:EXCHANGE_WORDS])
-    model = WordClasses(common, exchange(_bigrams(training, common), min(CLASSES, max(1, len(common) // 4))) if len(common) else np.zeros(0, np.int64))
-    pairs = _transitions(training, model)
+    used = min(CLASSES, max(1, len(common) // 4))
+    core = exchange(_bigrams(training, common), used) if len(common) else np.zeros(0, np.int64)
+    head_class[np.searchsorted(head_key, common)] = core
+    model, placed = WordClasses(head_key, head_class), None
+    for _ in range(SWEEPS if len(common) else 0):
+        placed = placed_words(_neighbours(training, model, common), model, used)
+        moved = placed.where(F.col("n") >= int(head_n.min())).toPandas()  # in the head, all of them
+        head_class = head_class.copy()
+        at = np.minimum(np.searchsorted(head_key, moved["key"].to_numpy(np.int64).view(U64)), len(head_key) - 1)
+        known = head_key[at] == moved["key"].to_numpy(np.int64).view(U64)
+        head_class[at[known]] = moved["class"].to_numpy(np.int64)[known]
+        model = WordClasses(head_key, head_class)
+    if placed is None:
+        lexicon = counts.select("key", "n", F.col("form").alias("class"))
+    else:
+        first = rows.sparkSession.createDataFrame([*zip(common.view(np.int64).tolist(), core.tolist(), strict=True)], "key long, class int")
+        lexicon = stored(counts.join(placed.select("key", "class").unionByName(first), "key", "left").select("key", "n", F.coalesce("class", "form").alias("class")), "lexicon")
     # sizes of the classes: tokens, and distinct words
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     distinct = np.zeros(END_CLASS + 1)
-    for row in counts.groupBy("form").agg(F.count("*").alias("n")).collect():
-        distinct[row.form] = row.n
-    head_form = dict(zip(head["key"].to_numpy(np.int64).view(U64).tolist(), head["form"].tolist(), strict=True))
-    for key, c in zip(model.keys.tolist(), model.classes.tolist(), strict=True):
-        distinct[head_form[key]] -= 1
-        distinct[c] += 1
-    tokens = pairs.sum(0).astype(float)
-    emission = np.log10(tokens + 0.5 * (distinct + 1))  # denominator of P(word | class)
-    emission[END_CLASS] = np.log10(tokens[END_CLASS] + 0.5)  # the class holds one word, whether seen or not
-    share = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
-    smoothed = (pairs + 2 * share) / (pairs.sum(1, keepdims=True) + 2)
-    step = np.log10(INTERPOLATION * smoothed + (1 - INTERPOLATION) * share) - emission
+    for row in lexicon.groupBy("class").agg(F.count("*").alias("n")).collect():
+        distinct[row["class"]] = row.n
     base = float(np.log10(total.tokens + 0.5 * (total.words + 1)))
     head_log = np.log10(head_n + 0.5)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per text with its sums over the head, and a row per text and other word."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text with its sums over the head and its tokens' classes, and a row per text and other word."""
         for batch in batches:
             numbers, ids = batch.column(2).to_numpy(), batch.column(1)
             for at, part in Texts.of(batch.column(0)).chunks():
                 t = Tokens(part)
-                c = t.classes(model)
-                steps = np.bincount(t.doc, weights=step[np.concatenate([[END_CLASS], c[:-1]]), c], minlength=part.n)
+                c = t.classes(model).astype(np.uint8)
                 known = np.zeros(len(t.key), bool)
                 logs = np.full(len(t.key), np.log10(0.5))
                 if len(head_key):
@@ -259,30 +398,68 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     logs[known] = head_log[found[known]]
                 sums = np.bincount(t.doc, weights=logs, minlength=part.n)
                 n_known = np.bincount(t.doc[known], minlength=part.n)
-                doc, key = t.doc[~known], t.key[~known]
-                order = np.lexsort((key, doc))
-                doc, key = doc[order], key[order]
+                start = t.ends - t.size
+                other = np.flatnonzero(~known)
+                other = other[np.lexsort((t.key[other], t.doc[other]))]
+                doc, key = t.doc[other], t.key[other]
                 new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([new, [len(doc)]]))
+                places = pa.ListArray.from_arrays(pa.array(np.concatenate([new, [len(doc)]]).astype(np.int32)), pa.array((other - start[doc]).astype(np.int32)))
                 row, m = numbers[at : at + part.n], len(new)
-                info = np.column_stack([t.size, n_known, sums, steps]).tolist()
+                info = np.column_stack([t.size, n_known, sums]).tolist()
+                blobs = [c[a:b].tobytes() for a, b in zip(start.tolist(), t.ends.tolist(), strict=True)]
                 columns = [
                     pa.array(np.concatenate([row, row[doc[new]]])),
                     pa.array(np.concatenate([mix(row.astype(U64)), key[new]]).view(np.int64)),
-                    pa.array(np.concatenate([np.zeros(part.n, np.int32), times.astype(np.int32)])),
+                    pa.concat_arrays([pa.nulls(part.n, places.type), places]),
                     pa.concat_arrays([ids.slice(at, part.n).cast(pa.int64()), pa.nulls(m, pa.int64())]),
                     pa.concat_arrays([pa.array(info, pa.list_(pa.float64())), pa.nulls(m, pa.list_(pa.float64()))]),
+                    pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(m, pa.binary())]),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "key", "times", "doc_id", "info"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "key", "places", "doc_id", "info", "classes"])
 
-    found = rows.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(score, "row long, key long, times int, doc_id long, info array<double>")
-    joined = found.join(counts.select("key", "n"), (found["key"] == counts["key"]) & (F.col("times") > 0), "left")
+    found = rows.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(read, "row long, key long, places array<int>, doc_id long, info array<double>, classes binary")
+    joined = found.join(lexicon, (found["key"] == lexicon["key"]) & F.col("places").isNotNull(), "left").withColumn("times", F.size("places"))
     own = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("info").alias("info"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).otherwise(0.0)).alias("logs"),
+        F.max("classes").alias("classes"), F.collect_list(F.when(F.col("n").isNotNull(), F.struct("class", "places"))).alias("others"),
     )
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the classes of words outside the head put in their places."""
+        for batch in batches:
+            texts = Texts.of(batch.column(4))
+            others = batch.column(5)
+            words = others.flatten()
+            lists = words.field(1)
+            size = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.repeat(np.arange(len(others)), np.diff(others.offsets.to_numpy())), size)
+            data = texts.data.copy()
+            data[texts.offsets[doc] + lists.flatten().to_numpy()] = np.repeat(words.field(0).to_numpy(), size)
+            classes = [data[a:b].tobytes() for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(classes, pa.binary())], ["doc_id", "info", "more", "logs", "classes"])
+
+    sequences = stored(own.select("doc_id", "info", "more", "logs", "classes", "others").mapInArrow(complete, "doc_id long, info array<double>, more long, logs double, classes binary"), "sequences")
+    pairs = _transitions(sequences.where(~held_out(F.col("doc_id"))))
+    tokens = pairs.sum(0).astype(float)
+    emission = np.log10(tokens + 0.5 * (distinct + 1))  # denominator of P(word | class)
+    emission[END_CLASS] = np.log10(tokens[END_CLASS] + 0.5)  # the class holds one word, whether seen or not
+    share = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
+    smoothed = (pairs + 2 * share) / (pairs.sum(1, keepdims=True) + 2)
+    step = np.log10(INTERPOLATION * smoothed + (1 - INTERPOLATION) * share) - emission
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with the sum of the class model's steps instead of the classes."""
+        for batch in batches:
+            texts = Texts.of(batch.column(4))
+            c = texts.data.astype(np.int64)
+            doc = np.repeat(np.arange(texts.n), np.diff(texts.offsets))
+            steps = np.bincount(doc, weights=step[np.concatenate([[END_CLASS], c[:-1]]), c], minlength=texts.n) if len(c) else np.zeros(texts.n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(steps)], ["doc_id", "info", "more", "logs", "steps"])
+
+    own = sequences.mapInArrow(score, "doc_id long, info array<double>, more long, logs double, steps double")
     n_tokens, logs = F.col("info")[0], F.col("info")[2] + F.col("logs")
-    score_sum = logs + F.col("info")[3]
+    score_sum = logs + F.col("steps")
     return own.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), n_tokens.cast("long").alias("n_tokens"), (F.col("info")[1].cast("long") + F.col("more")).alias("n_known"),
         F.lit(total.tokens).cast("long").alias("train_tokens"), (logs - n_tokens * base).alias("base_score"), score_sum.alias("score"), F.pow(F.lit(10.0), -score_sum / n_tokens).alias("perplexity"),

@@ -49,5 +49,19 @@ def test_probabilities_sum_to_one_at_most(spark):
     assert 0 < first < 1
 
 
+def test_rare_words_are_exchanged(spark):
+    """Words beyond the 1,024 most frequent have classes by their neighbours: two languages of words of one form."""
+    rng = random.Random(4)
+    languages = [[f"{i:04d}xx" for i in range(k, 4000, 2)] for k in range(2)]
+    rows = [(i, " ".join(rng.choices(languages[i % 2], k=60))) for i in range(1000)]
+    probes = [(2000 + i, [rng.choice(languages[0]) for _ in range(40)], [rng.choice(languages[1]) for _ in range(40)]) for i in range(20)]
+    apart = [(i, " ".join(a + b)) for i, a, b in probes]
+    mixed = [(i + 1000, " ".join(w for pair in zip(a, b, strict=True) for w in pair)) for i, a, b in probes]
+    ids = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 5 == 1]  # all held out
+    texts = [t for _, t in apart] + [t for _, t in mixed]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(rows + list(zip(ids[:40], texts, strict=True)), "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[a] > got[b] + 5 for a, b in zip(ids[:20], ids[20:40], strict=True))
+
+
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
