@@ -12,7 +12,8 @@ meet in the shard of a shared early shingle.
    few pairs for each node, with nodes of other components that share the most; the last round
    proposes every remaining pair that is not yet in one component and has room for the overlap.  A
    group of thousands of near copies thus costs a few pairs per member, and no link between different
-   components is missed.
+   components is missed.  `link_table` has every link, those inside components too: it proposes and
+   verifies all pairs that have room, without rounds.
 4. Proposed pairs are verified on full sets: a node's candidates are stored, in global order, in a
    prefix tree, and one descent counts the overlaps with all of them, sharing partial overlaps along
    common prefixes and leaving subtrees whose remaining lengths cannot reach the bound.
@@ -420,16 +421,36 @@ def verified(pairs: DataFrame, bodies: DataFrame, shards: int, width: int, perce
     return stored(probes.groupBy("shard").cogroup(candidates.groupBy("shard")).applyInArrow(check, "a long, b long, linked boolean"), "verified")
 
 
-def component_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, s1, s2 (hashes of the set): a row per row of documents."""
-    shards = shards or shard_count(documents, text)
+def _prepared(documents: DataFrame, width: int, percent: int, text: str, doc_id: str, shards: int) -> tuple[DataFrame, ...]:
+    """The rows of documents without text, their nodes, the shared items, where nodes have some, and those nodes' texts."""
     frequent = _frequent(documents, text, width)
     rows = stored(profiles(documents, frequent, width, percent, text, doc_id), "profiles")
     sets = rows.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("early").alias("early"))
     nodes = stored(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     shared = stored(shared_items(nodes, shards), "shared")
     homes = stored(node_homes(shared), "homes")
-    bodies = node_bodies(homes, documents, nodes, width, text, doc_id)
+    return rows, nodes, shared, homes, node_bodies(homes, documents, nodes, width, text, doc_id)
+
+
+def link_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
+    """a_s1, a_s2, a_id, b_s1, b_s2, b_id: every pair of different sets that are similar, once, with the least id of each.
+
+    Pairs inside a component are decided like all others, so a group of n different near copies gives up
+    to n * (n - 1) / 2 rows.  The hashes of `component_table` say which rows of documents have a set.
+    """
+    shards = shards or shard_count(documents, text)
+    _, nodes, shared, homes, bodies = _prepared(documents, width, percent, text, doc_id, shards)
+    every = stored(cross_pairs(shared, labels_by_shard(None, homes, shards), shards, percent), "pairs")
+    links = verified(every, bodies, shards, width, percent).where("linked").select("a", "b")
+    for end in ("a", "b"):
+        links = links.join(nodes.select(F.col("node").alias(end), F.col("s1").alias(f"{end}_s1"), F.col("s2").alias(f"{end}_s2"), F.when(F.col("id") != NO_ID, F.col("id")).alias(f"{end}_id")), end)
+    return links.select("a_s1", "a_s2", "a_id", "b_s1", "b_s2", "b_id")
+
+
+def component_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, s1, s2 (hashes of the set): a row per row of documents."""
+    shards = shards or shard_count(documents, text)
+    rows, nodes, shared, homes, bodies = _prepared(documents, width, percent, text, doc_id, shards)
     links = tried = known = None
     for turn, most in enumerate(OFFERS):
         labels = labels_by_shard(known, homes, shards)

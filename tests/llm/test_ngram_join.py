@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from llm.components import components
-from llm.ngram_join import PrefixTree, component_table, keep_one
+from llm.ngram_join import PrefixTree, component_table, keep_one, link_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,6 +63,24 @@ def test_components(spark, seed):
     assert got == brute(rows)
 
 
+def test_all_links(spark):
+    """Links between different texts of one component are decided too."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in enumerate(rng.sample(range(80), 14))]
+    rows += [(100 + i, t) for i, t in corpus(8) if i is not None]
+    rows = [*dict(rows).items()]
+    sets = {i: frozenset(shingles(t)) for i, t in rows}
+    least = {}
+    for i, s in sets.items():
+        least[s] = min(least.get(s, i), i)
+    nodes = [(i, s) for s, i in least.items() if s]
+    want = sorted((min(i, j), max(i, j)) for k, (i, s) in enumerate(nodes) for j, t in nodes[:k] if 100 * len(s & t) >= 80 * len(s | t))
+    got = link_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=3).collect()
+    assert sorted((min(r.a_id, r.b_id), max(r.a_id, r.b_id)) for r in got) == want
+    assert sum(j < 14 for _, j in want) > 13  # more than hold a component together
+
+
 def test_tree():
     rng = random.Random(5)
     sets = [np.unique(np.array(rng.sample(range(40), rng.randrange(1, 25)), np.uint64)) for _ in range(200)]
