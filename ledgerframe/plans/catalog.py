@@ -345,7 +345,7 @@ def range_coalesce(events):
 
 @query("events", "SELECT event_id, value FROM events WHERE event_id IN (SELECT k * (1000 - 1) // (200 - 1) FROM range(200) AS r(k))")
 def sample_series(events):
-    return ordinals.sampled(events.select("event_id", "value"), "event_id", 200, 1000)
+    return ordinals.sampled(events.select("event_id", "value"), "event_id", 200, events.count())
 
 
 @query("events", "SELECT DISTINCT event_id // 16 AS page FROM events WHERE value > 100 AND event_id // 16 NOT IN (SELECT event_id // 16 FROM events WHERE event_type = 'error')")
