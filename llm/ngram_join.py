@@ -475,10 +475,12 @@ def component_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: i
 def keep_one(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """documents without those that have a smaller id in their component.
 
-    Of equal rows one stays.  An id goes only if all of its rows have a smaller one; rows with a null id stay.
+    Of equal rows with an id one stays.  An id goes only if all of its rows have a smaller one; rows with a null id all stay.
     """
     table = stored(component_table(documents, width, percent, text, doc_id), "components")
     by_id = table.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("component_id").alias("most"), F.count("*").alias("rows"))
     gone = stored(by_id.where(F.col("most") < F.col("doc_id")).select(F.col("doc_id").alias(doc_id)), "gone")
     kept = documents.join(gone, doc_id, "left_anti")
-    return kept.dropDuplicates([doc_id, text]) if by_id.where(F.col("rows") > 1).limit(1).count() else kept
+    if not by_id.where(F.col("rows") > 1).limit(1).count():
+        return kept
+    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]).unionByName(kept.where(F.col(doc_id).isNull()))

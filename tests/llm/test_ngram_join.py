@@ -104,5 +104,13 @@ def test_keep_one(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, text), (4, "else"), (None, text), (5, "")], key=str)
 
 
+def test_rows_without_id_stay(spark):
+    """Whether or not another id occurs twice."""
+    text = "a b c d e f g h i j k l m"
+    for more in ([(4, "else")], [(4, "else"), (4, "else")]):
+        got = keep_one(spark.createDataFrame([(None, text), (None, text), *more], "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(None, text), (None, text), (4, "else")], key=str)
+
+
 def test_empty(spark):
     assert component_table(spark.createDataFrame([], "doc_id long, text string")).collect() == []
