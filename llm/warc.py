@@ -163,12 +163,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+        import gzip
 
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
-                raw = zlib.decompressobj(31).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw  # all members: archives may have one per record
                 out: list[tuple] = []
                 held = 0
                 for head, block in _parse(raw):

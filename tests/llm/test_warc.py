@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -47,5 +48,14 @@ def test_segments_are_written_and_missing_ones_found(spark):
         read_archives(spark, cut).collect()
 
 
+def test_a_gzip_member_per_record(spark, tmp_path):
+    plain = fresh_path(spark, "warc")
+    write_archives(spark.createDataFrame([(i, f"http://a/{i}", f"page {i}") for i in range(5)], "page_id long, url string, html string").coalesce(1), plain, compress=False)
+    for k, row in enumerate(spark.read.format("binaryFile").load(plain).collect()):
+        records = [b"WARC/1.1" + x for x in bytes(row.content).split(b"WARC/1.1")[1:]]
+        (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    assert sorted(r.page_id for r in read_archives(spark, str(tmp_path)).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_empty(spark):
     assert archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
