@@ -205,15 +205,18 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample_rows: int, text: s
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, keep_good: float = KEEP_GOOD, text: str = "text", doc_id: str = "doc_id") -> Trees | None:
-    """Trees fitted on a bounded sample of labelled documents; None without two classes."""
+    """Trees fitted on a bounded sample of labelled documents; None without two classes among those that pass the rules.
+
+    With few of them a leaf may be smaller than the usual 20 rows, a quarter of all at least.
+    """
     x, y = _labelled(documents, labels, sample_rows, text, doc_id)
     passed = rules_pass(np.expm1(x[:, 0]).round(), (x[:, 4] * np.expm1(x[:, 0])).round()) if len(x) else np.zeros(0, bool)
     x, y = x[passed], y[passed]
     order = np.lexsort([*x.T, y])  # the same trees for any order of rows
     x, y = x[order], y[order]
-    if len(y) < 50 or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
-    trees = fit_trees(x, y, list(FEATURES.values()))
+    trees = fit_trees(x, y, list(FEATURES.values()), smallest=20 if len(y) >= 50 else max(1, len(y) // 4))
     scores = trees.score(x)
     good = np.sort(scores[y > 0])
     trees.cutoff = float(min(0.0, good[int((1 - keep_good) * len(good))]))

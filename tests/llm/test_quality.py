@@ -55,3 +55,12 @@ def test_judge(spark):
     assert [r for r in got if r.doc_id == 500][0].base_failed
     assert judge(docs.limit(0), None).collect() == []
     assert fit_quality(docs, labels.limit(0)) is None
+
+
+def test_few_labels_are_fitted(spark):
+    good = [(i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(30)), 1) for i in range(20)]
+    bad = [(i, " ".join(f"#{(i * 7 + k * k) % 97}$$" for k in range(30)), 0) for i in range(100, 120)]
+    for n in (1, 3, 20):
+        docs = spark.createDataFrame([r[:2] for r in good + bad], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in good[:n] + bad[:n]], "doc_id long, quality int")
+        assert all(r.kept == (r.doc_id < 100) for r in judge(docs, fit_quality(docs, labels)).collect())
