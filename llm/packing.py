@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from llm.text_arrays import U64, Texts, Words
+from llm.text_arrays import PROCESS_KEY, U64, Texts, Words
 
 CAPACITY = 2048
 END_ID = 0
@@ -93,7 +93,7 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, capacity: int =
         for batch in batches:
             rows, crcs = [], []
             for at, part in Texts.of(batch.column(1)).chunks():
-                words = Words(part)
+                words = Words(part, key=PROCESS_KEY)
                 ids, size = encode(words)
                 total = np.concatenate([[0], np.cumsum(size)])[words.bounds]
                 length = np.diff(total) + 1

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from llm.text_arrays import Texts, Words, byte_values, prefix_hashes, span_hashes, window_hashes
+from llm.text_arrays import PROCESS_KEY, Texts, Words, content_hashes, prefix_hashes, window_hashes
 
 SAMPLE_ROWS = 20_000
 MIN_WORDS = 10
@@ -60,7 +60,7 @@ def _equal_earlier(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def statistics(texts: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The counts of COUNTS and the features, a row for each text."""
-    words, n = Words(texts), texts.n
+    words, n = Words(texts, key=PROCESS_KEY), texts.n
     data, kind = texts.data, _KIND[texts.data]
     n_words = words.counts.astype(np.int64)
     lead = (data & 0xC0) != 0x80
@@ -78,7 +78,7 @@ def statistics(texts: Texts) -> tuple[dict[str, np.ndarray], np.ndarray]:
     end = np.minimum(breaks[np.searchsorted(breaks, start)], texts.offsets[line_doc + 1])
     filled = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, line_doc = start[filled], end[filled], line_doc[filled]
-    dup = _equal_earlier(span_hashes(prefix_hashes(byte_values(data)), start, end), line_doc)
+    dup = _equal_earlier(content_hashes(data, start, end, PROCESS_KEY), line_doc)
     n_lines = np.bincount(line_doc, minlength=n)
     n_dup_lines = np.bincount(line_doc[dup], minlength=n).astype(np.int64)
     # words in windows that occur again in the same text

@@ -1,18 +1,27 @@
-"""Text columns as flat numpy arrays: words, rolling hashes and window minimisers.
+"""Text columns as flat numpy arrays: words, content hashes, rolling hashes and window minimisers.
 
 A batch of texts is one byte buffer with offsets.  All per-word and per-byte work is done on whole
 buffers, so Python runs a few dozen array operations for thousands of documents.  Words are maximal
 runs of bytes other than space and 0x09-0x0D, which is what ``[^\\x20\\x09-\\x0D]+`` matches.
+
+Two kinds of hashes.  ``content_hashes`` tells words and lines apart: it chains blocks of eight bytes
+through a keyed mix, and callers draw the key per run or per process, so that no text can be written to
+collide.  The rolling hashes (``prefix_hashes`` and what cuts spans out of it) are sums modulo 2**64:
+over bytes they serve routing only, where what is equal is compared by content afterwards; over
+content hashes of words they tell short windows apart.
 """
 
 from __future__ import annotations
 
 import ctypes
+import secrets
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 
 U64 = np.uint64
@@ -25,6 +34,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Sub-batches hold at most this many bytes of text, unless one text alone is longer.
 CHUNK_BYTES = 1 << 20
+#: A key for content hashes that don't leave this process.
+PROCESS_KEY = secrets.randbits(64)
+#: Spans up to this length are hashed in blocks for all spans at once.
+BLOCKED_BYTES = 96
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library: its allocator decides by itself
@@ -82,6 +95,31 @@ def window_hashes(prefix: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[:n]) * powers(n)[0])
 
 
+def content_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """Keyed hash of the bytes in each [start, end): spans up to BLOCKED_BYTES in eight-byte blocks, all at once; longer ones one by one."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, U64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, U64, padded, strides=(1,))  # the eight bytes from each place on
+    masks = U64(2**64 - 1) >> (U64(64) - U64(8) * np.arange(1, 9, dtype=U64))
+    salt = np.arange(BLOCKED_BYTES + 1, dtype=U64)
+    salt = mix(salt + U64(key & (2**64 - 1)))
+    out = salt[np.minimum(size, BLOCKED_BYTES)] ^ (blocks[start] & masks[np.clip(size, 1, 8) - 1])
+    out = mix(out)
+    live = np.flatnonzero((size > 8) & (size <= BLOCKED_BYTES))
+    at, left = start[live] + 8, size[live] - 8
+    while len(live):
+        out[live] = mix(out[live] ^ (blocks[at] & masks[np.minimum(left, 8) - 1]))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero((size > BLOCKED_BYTES) | (size == 0))
+    if len(long):
+        raw, seed = memoryview(np.ascontiguousarray(data)), key & (2**64 - 1)
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 class Texts:
     """A run of texts as bytes with offsets; null counts as empty."""
 
@@ -125,7 +163,8 @@ class Texts:
 class Words:
     """Start, end, owner and hash of every word of some texts, in order."""
 
-    def __init__(self, texts: Texts, lower: bool = False):
+    def __init__(self, texts: Texts, lower: bool = False, key: int = 0):
+        self.key = key
         data = _LOWER[texts.data] if lower else texts.data
         self.texts, self.data = texts, data
         first = np.zeros(len(data) + 1, bool)
@@ -140,8 +179,10 @@ class Words:
         self.bounds = np.searchsorted(self.start, texts.offsets)  # of each text's words
         self.counts = np.diff(self.bounds)
         self.doc = np.repeat(np.arange(texts.n), self.counts)
-        self.byte_prefix = prefix_hashes(_BYTE_VALUES[data])
-        self.hash = span_hashes(self.byte_prefix, self.start, self.end)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return content_hashes(self.data, self.start, self.end, self.key)
 
     def __len__(self) -> int:
         return len(self.start)
