@@ -14,9 +14,11 @@ empty table; rows with equal ids are packed one by one.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,50 +34,70 @@ PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 l
 
 
 class WordEncoder:
-    """Ids of words by a tokenizer that never joins words; keeps those of up to CACHE_WORDS words."""
+    """Ids of words by a tokenizer that never joins words; keeps those of up to CACHE_WORDS words.
+
+    Words stand in a large sorted table and a small one of those met lately, which is merged into the
+    large one when it comes to an eighth of it; ids are appended to a buffer that grows by doubling.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; more threads cost CPU time only
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, U64)
-        self.where = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.tables = [(np.zeros(0, U64), np.zeros(0, np.int32)) for _ in range(2)]  # sorted keys, numbers of entries
+        self.where, self.size, self.entries = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), 0
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Take in words by their keys, which ascend and are new; the numbers of their entries."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        entry = np.arange(self.entries, self.entries + len(keys), dtype=np.int32)
+        for name, need in (("where", self.entries + len(keys)), ("size", self.entries + len(keys)), ("ids", self.used + len(flat))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        self.where[entry] = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.size[entry] = size
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.entries, self.used = self.entries + len(keys), self.used + len(flat)
+        self.tables[1] = _merged(self.tables[1], (keys, entry))
+        if 8 * len(self.tables[1][0]) > len(self.tables[0][0]):
+            self.tables = [_merged(*self.tables), (np.zeros(0, U64), np.zeros(0, np.int32))]
+        return entry
 
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids one after another, and each word's number of ids."""
         keys, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        new = np.flatnonzero(~known)
+        entry = np.full(len(keys), -1, np.int32)
+        for known, numbers in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                entry = np.where(known[at] == keys, numbers[at], entry)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            if len(self.keys) + len(new) > CACHE_WORDS and len(self.keys):
+            if self.entries + len(new) > CACHE_WORDS and self.entries:
                 self._clear()
                 return self.encode(words)
-            texts = [words.word(i).decode("utf-8") for i in first[new]]
-            got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-            where = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, flat])
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys = merged[order]
-            self.where = np.concatenate([self.where, where])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            at = np.searchsorted(self.keys, keys)
-        size, where = self.size[at][back], self.where[at][back]
+            texts = [words.word(i).decode("utf-8") for i in first[new].tolist()]
+            entry[new] = self._add(keys[new], [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        entry = entry[back]
+        size, where = self.size[entry].astype(np.int64), self.where[entry]
         ends = np.cumsum(size)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(where - (ends - size), size)
         return self.ids[index], size
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, numbers = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.argsort(keys, kind="stable")  # two sorted runs
+    return keys[order], numbers[order]
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
