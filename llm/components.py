@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.storage import stored
+from llm.storage import discard, stored
 
 
 def _linked_to_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = stored(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        links = stored(_linked_to_least(_linked_to_least(links, True), False), "links")
+        last, links = links, stored(_linked_to_least(_linked_to_least(links, True), False), "links")
+        discard(last, shuffles=False)
         now = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

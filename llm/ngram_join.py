@@ -7,26 +7,33 @@ meet in the shard of a shared early shingle.
 
 1. Shingles that are frequent within batches of documents are counted.  The most frequent (a bounded
    list) come last in the order; the list changes cost only, never results.
-2. Each document becomes one row with its early shingles; documents with equal sets become one node.
-3. Shards of the shingle space keep shingles that two nodes or more share.  A few rounds propose a
-   few pairs for each node, with nodes of other components that share the most; the last round
-   proposes every remaining pair that is not yet in one component and has room for the overlap.  A
-   group of thousands of near copies thus costs a few pairs per member, and no link between different
-   components is missed.  `link_table` has every link, those inside components too: it proposes and
-   verifies all pairs that have room, without rounds.
-4. Proposed pairs are verified on full sets: a node's candidates are stored, in global order, in a
-   prefix tree, and one descent counts the overlaps with all of them, sharing partial overlaps along
-   common prefixes and leaving subtrees whose remaining lengths cannot reach the bound.
+2. Each document becomes one row with its early shingles and a parity sketch of its set; documents with
+   equal sets become one node.
+3. Shards of the shingle space keep shingles that two nodes or more share, and the sketches of their
+   nodes.  An element that only one of two sets has flips one bit, so sketches that differ in more bits
+   than similar sets differ in elements rule a pair out, exactly.
+4. Offers: for each shared shingle, its nodes are paired with a pivot (the node where it comes earliest,
+   which is the one with the fewest shingles of its own) and with neighbours in two orders; each node
+   keeps its best few.  A group of thousands of near copies thus costs a few pairs per member.
+5. Then every remaining pair of nodes of different components that room and sketches leave is proposed,
+   so no link between components is missed.  `link_table` has every link, those inside components too:
+   it proposes all pairs that room and sketches leave, without offers.
+6. Proposed pairs are dealt into cells of bounded size, near copies to one cell, so a text travels once
+   or twice and not once for each pair.  A cell puts its full sets, rare shingles first, into one prefix
+   tree, and all queries descend it together: overlaps along a common prefix are counted once for all
+   sets below, and subtrees whose remaining lengths leave no room are left (``llm.prefix_tree``).
 
 Defined results: null or empty text has an empty set, which links with nothing; with fewer words than
 a shingle has, the whole sequence is the one shingle; a null id counts as larger than all others and a
-component of null ids only is null; rows with equal ids are judged by their own texts; other columns
-pass through `component_table` not at all and through `keep_one` unchanged.
+component of null ids only is null; rows with equal ids are judged by their own texts; an empty table
+gives an empty table; other columns pass through `component_table` not at all and through `keep_one`
+unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import secrets
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,25 +42,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.components import components
-from llm.repeats import BLOB, NO_ID, blob_batch, blob_rows, joined, shard_count, shard_of, spread
-from llm.storage import largest, stored
-from llm.text_arrays import U64, Texts, Words, grouped, mix, pack, prefix_hashes, span_hashes, unpack, window_hashes
+from llm.prefix_tree import PrefixTree, needed
+from llm.repeats import BLOB, NO_ID, blob_batch, blob_rows, joined, shard_of, spread
+from llm.storage import discard, largest, stored
+from llm.text_arrays import U64, Texts, Words, grouped, mix, pack, prefix_hashes, release, span_hashes, unpack, window_hashes
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 #: Entries of the list of frequent shingles: 12 bytes each in every task.
 FREQUENT = 1 << 18
 COUNT_TOKENS = 2_000_000
-#: Pairs that a node is offered in each round before the one that proposes all that are left.
-OFFERS = (2, 6)
-#: Candidates of one node that are verified in one group.
-PROBE_PAIRS = 4_096
-BLOOM_BITS = 1 << 26
-
-
-def shingle_hashes(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
+#: Text that a shard of the shingle space stands for.
+SHARD_BYTES = 8 << 20
+#: Pairs that a node is offered before all that are left are proposed.
+OFFERS = 3
+#: Pairs that one cell verifies, and texts that it holds, at about twice as many at most.
+CELL_PAIRS = 16_384
+#: Bits of a sketch.
+SKETCH = 512
+#: Pairs of a shard that are looked at together.
+BLOCK_PAIRS = 1 << 18
+#: Ids up to which a bit table of them is sent to the pass over the documents: 16 bits each.
+BLOOM_IDS = 1 << 23
+
+
+def shard_number(documents: DataFrame, text: str) -> tuple[int, int]:
+    """Shards of the shingle space, and how many low bits of early shingles may be dropped without many more false candidates."""
+    total = documents.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    kept = max(32, int(total).bit_length() - 3 + 12 + 4)  # early shingles, a share of them false, the order's levels
+    return int(max(64, -(-total // SHARD_BYTES))), max(0, 64 - 8 * -(-kept // 8))
+
+
+def shingle_hashes(texts: Texts, width: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every distinct shingle of each text, in order of text and hash."""
-    words = Words(texts, lower=True)
+    words = Words(texts, lower=True, key=key)
     prefix = prefix_hashes(words.hash)
     hashes = window_hashes(prefix, width)
     at = np.flatnonzero(words.doc[: len(hashes)] == words.doc[width - 1 :]) if len(hashes) else np.zeros(0, np.int64)
@@ -72,12 +94,7 @@ def early(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    """Least overlap of sets of n and m items that are similar."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
-def _frequent(documents: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(documents: DataFrame, text: str, width: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the most frequent shingles, ascending, and the order level of each (larger: later)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,15 +106,18 @@ def _frequent(documents: DataFrame, text: str, width: int) -> tuple[np.ndarray,
 
         for batch in batches:
             for _, part in Texts.of(batch.column(0)).chunks():
-                held.append(shingle_hashes(part, width)[1])
+                held.append(shingle_hashes(part, width, key)[1])
                 size += len(held[-1])
                 if size > COUNT_TOKENS:
                     yield flush()
                     held, size = [], 0
         yield flush()
+        held.clear()
+        release()
 
-    counts = documents.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = largest(stored(counts, "frequent"), "n", FREQUENT).toPandas()
+    counts = stored(documents.select(text).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent")
+    top = largest(counts, "n", FREQUENT).toPandas()
+    discard(counts)
     keys, n = top["key"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], np.minimum(np.log2(np.maximum(n[order], 1)).astype(np.int64), 15).astype(U64)
@@ -114,31 +134,51 @@ def ordered(doc: np.ndarray, keys: np.ndarray, frequent: tuple[np.ndarray, np.nd
     return doc[order], rank[order]
 
 
-def profiles(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """A row per document: id, n (size of its set), two hashes of the set, and its early items, packed."""
+def sketches(doc: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """For each text SKETCH bits: how many of its items fall to each bit, modulo 2; a row of bytes a text."""
+    out = np.zeros((n, SKETCH // 8), np.uint8)
+    bit = (keys >> U64(20)).astype(np.int64) & (SKETCH - 1)
+    for at in range(0, n, 1024):
+        a, b = np.searchsorted(doc, [at, at + 1024])
+        m = min(1024, n - at)
+        odd = np.bincount((doc[a:b] - at) * SKETCH + bit[a:b], minlength=m * SKETCH) & 1
+        out[at : at + m] = np.packbits(odd.astype(bool).reshape(m, SKETCH), axis=1)
+    return out
+
+
+def profiles(documents: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, percent: int, text: str, doc_id: str, key: int = 0, dropped: int = 0) -> DataFrame:
+    """A row per document: id, n (size of its set), two hashes of the set, its early items (without their lowest bits), packed, and its sketch."""
+    low = ~U64((1 << dropped) - 1)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in Texts.of(batch.column(1)).chunks():
-                doc, keys = shingle_hashes(part, width)
+                doc, keys = shingle_hashes(part, width, key)
                 bounds = np.searchsorted(doc, np.arange(part.n + 1))
                 n = np.diff(bounds)
-                marks = []
-                for seed in (1, 2):
-                    values = mix(keys + U64(seed))
-                    total = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
-                    marks.append(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(U64)).view(np.int64))
+                marks = [_set_hash(keys, bounds, seed) for seed in (1, 2)]
                 _, rank = ordered(doc, keys, frequent)
                 ends = bounds[:-1] + np.where(n > 0, early(n, percent), 0)
-                blobs = [pack(rank[a:b]) for a, b in zip(bounds[:-1].tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, part.n), pa.array(n), pa.array(marks[0]), pa.array(marks[1]), pa.array(blobs, pa.binary())], ["id", "n", "s1", "s2", "early"])
+                blobs = [pack(rank[a:b] & low) for a, b in zip(bounds[:-1].tolist(), ends.tolist(), strict=True)]
+                sketch = [x.tobytes() for x in sketches(doc, keys, part.n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, part.n), pa.array(n), *map(pa.array, marks), pa.array(blobs, pa.binary()), pa.array(sketch, pa.binary())], ["id", "n", "s1", "s2", "early", "sketch"])
+        release()
 
     rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text))
-    return rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, early binary")
+    return rows.mapInArrow(profile, "id long, n long, s1 long, s2 long, early binary, sketch binary")
 
 
-def shared_items(nodes: DataFrame, shards: int) -> DataFrame:
-    """(shard, packed item, node, n, place) of the early items that two nodes or more have: one row a shard."""
+def _set_hash(keys: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(keys + U64(seed)), dtype=U64)])
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)).view(np.int64)
+
+
+#: Of an entry of a shard: item, node, size of its set, the item's place in it.
+ENTRY = ("u8", "i8", "u4", "u4")
+
+
+def shared_items(rows: DataFrame, shards: int) -> DataFrame:
+    """(shard, packed entries) of the early items that two nodes or more have: one row a shard."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,326 +190,360 @@ def shared_items(nodes: DataFrame, shards: int) -> DataFrame:
             row = np.repeat(np.arange(len(items)), size)
             place = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
             node, n = batch.column("node").to_numpy()[row], batch.column("n").to_numpy().astype(np.uint32)[row]
-            spread_keys = mix(keys)  # the order's levels are uneven, shards should not be
-            order = np.argsort(spread_keys, kind="stable")
-            yield blob_batch(list(blob_rows(shard_of(spread_keys[order], shards), shards, spread_keys[order], node[order], n[order], place[order])))
+            mixed = mix(keys)  # the order's levels are uneven, shards should not be
+            order = np.argsort(mixed >> U64(32), kind="stable")
+            yield blob_batch(list(blob_rows(shard_of(mixed[order], shards), shards, keys[order], node[order], n[order], place[order])))
+        release()
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        keys, node, n, place = joined(table, "u8", "i8", "u4", "u4")
-        order, starts = grouped(keys)
-        order = order[np.repeat(np.diff(starts) > 1, np.diff(starts))]
-        rows = [(key[0].as_py(), pack(*(x[order] for x in (keys, node, n, place))))] if len(order) else []
+        keys, node, n, place = joined(table, *ENTRY)
+        order = np.lexsort((node, keys))
+        keys, node, n, place = keys[order], node[order], n[order], place[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])])  # rows of one node
+        keys, node, n, place = keys[new], node[new], n[new], place[new]
+        _, starts = grouped(keys)
+        many = np.repeat(np.diff(starts) > 1, np.diff(starts))
+        rows = [(key[0].as_py(), pack(*(x[many] for x in (keys, node, n, place))))] if many.any() else []
+        release()
         return pa.Table.from_batches([blob_batch(rows)])
 
-    packed = nodes.select("node", "n", "early").mapInArrow(emit, BLOB)
-    return spread(packed, shards).applyInArrow(find, BLOB)
-
-
-ITEM_KINDS = ("u8", "i8", "u4", "u4")
+    return spread(rows.mapInArrow(emit, BLOB), shards).applyInArrow(find, BLOB)
 
 
 def node_homes(shared: DataFrame) -> DataFrame:
-    """(node, shards): where each node has shared items.  As many rows as early items at most, before they are grouped."""
+    """(node, shards, home): where each node has shared items, and one of these items, which near copies have in common as a rule."""
 
     def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                node = np.unique(unpack(body, *ITEM_KINDS)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.full(len(node), shard, np.int32))], ["node", "shard"])
+                item, node, _, _ = unpack(body, *ENTRY)
+                order = np.lexsort((mix(item), node))
+                first = order[np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))]
+                yield pa.RecordBatch.from_arrays([pa.array(node[first]), pa.array(np.full(len(first), shard, np.int32)), pa.array((mix(item[first]) >> U64(1)).view(np.int64))], ["node", "shard", "home"])
 
-    return shared.mapInArrow(nodes_of, "node long, shard int").groupBy("node").agg(F.collect_list("shard").alias("shards"))
+    return shared.mapInArrow(nodes_of, "node long, shard int, home long").groupBy("node").agg(F.collect_list("shard").alias("shards"), F.min("home").alias("home"))
 
 
-def labels_by_shard(known: DataFrame | None, homes: DataFrame, shards: int) -> DataFrame:
-    """(shard, packed node and component) of the nodes that are in a component with a smaller one."""
+def by_home(nodes: DataFrame, homes: DataFrame, column: str) -> DataFrame:
+    """(shard, packed node and a column) for every shard where the node has shared items; the column is binary or whole numbers."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            homes_of = batch.column(2)
-            size = np.array(homes_of.value_lengths().to_pylist(), np.int64)
-            shard = homes_of.flatten().to_numpy().astype(np.int64)
+            size = np.array(batch.column(2).value_lengths().to_pylist(), np.int64)
+            shard = batch.column(2).flatten().to_numpy().astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            node, component = (np.repeat(batch.column(i).to_numpy(), size)[order] for i in (0, 1))
-            yield blob_batch(list(blob_rows(shard[order], shards, node, component)))
-
-    if known is None:
-        return homes.limit(0).select(F.lit(0).cast("int").alias("shard"), F.lit(b"").alias("body"))
-    return known.where("node <> component").join(homes, "node").select("node", "component", "shards").mapInArrow(emit, BLOB)
+            row = np.repeat(np.arange(batch.num_rows), size)[order]
+            value = batch.column(1)
+            wide = np.frombuffer(b"".join(value.to_pylist()), f"V{SKETCH // 8}") if pa.types.is_binary(value.type) else value.to_numpy()
+            bounds = np.searchsorted(shard[order], np.arange(int(shard.max()) + 2)) if len(shard) else np.zeros(1, np.int64)
+            node, rows = batch.column(0).to_numpy(), []
+            for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
+                at = row[bounds[s] : bounds[s + 1]]
+                rows.append((int(s), node[at].tobytes() + wide[at].tobytes()))
+            yield blob_batch(rows)
+
+    return nodes.join(homes.hint("merge"), "node").select("node", column, "shards").mapInArrow(emit, BLOB)
+
+
+def _unpacked(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes, ascending, and their values, rows of `width` bytes."""
+    node, value = [np.zeros(0, np.int64)], [np.zeros((0, width), np.uint8)]
+    for body in bodies:
+        m = len(body) // (8 + width)
+        node.append(np.frombuffer(body, np.int64, m))
+        value.append(np.frombuffer(body, np.uint8, offset=8 * m).reshape(m, width))
+    node, value = np.concatenate(node), np.concatenate(value)
+    order = np.argsort(node)
+    return node[order], value[order]
+
+
+class Shard:
+    """Entries of a shard in order of item and size; per entry the row of its node's sketch and the node's component."""
+
+    def __init__(self, left: pa.Table, right: pa.Table):
+        item, node, n, place = joined(left, *ENTRY)
+        order = np.lexsort((n, item))
+        self.item, self.node = item[order], node[order]
+        self.n, self.place = n[order].astype(np.int64), place[order].astype(np.int64)
+        kinds = right.column("kind").to_pylist()
+        bodies = right.column("body").to_pylist()
+        known, sketch = _unpacked([b for b, k in zip(bodies, kinds, strict=True) if k == 0], SKETCH // 8)
+        self.sketch = np.ascontiguousarray(sketch).view(U64)
+        self.row = np.searchsorted(known, self.node)
+        labelled, component = _unpacked([b for b, k in zip(bodies, kinds, strict=True) if k == 1], 8)
+        self.component = self.node.copy()
+        if len(labelled):
+            at = np.minimum(np.searchsorted(labelled, self.node), len(labelled) - 1)
+            self.component = np.where(labelled[at] == self.node, np.ascontiguousarray(component).view(np.int64).reshape(-1)[at], self.node)
+
+    def possible(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the entries' sets can be similar, by sizes, places and sketches."""
+        n, m = self.n[i], self.n[j]
+        overlap = needed(n, m, percent)
+        out = np.minimum(n - self.place[i], m - self.place[j]) >= overlap
+        out &= np.minimum(n, m) >= overlap
+        at = np.flatnonzero(out)
+        differ = np.bitwise_count(self.sketch[self.row[i[at]]] ^ self.sketch[self.row[j[at]]]).sum(1)
+        out[at] = differ <= (n + m - 2 * overlap)[at]
+        return out
 
 
-def by_shard(shared: DataFrame, labels: DataFrame, shards: int, propose: Callable[..., pa.Table], schema: str) -> DataFrame:
-    """propose(item, node, n, place, component) of every shard."""
+def by_shard(shared: DataFrame, marks: list[DataFrame], shards: int, propose, schema: str) -> DataFrame:
+    """propose(Shard) for every shard; marks: sketches of the nodes by shard, then the components of some."""
+    right = marks[0].withColumn("kind", F.lit(0))
+    for more in marks[1:]:
+        right = right.unionByName(more.withColumn("kind", F.lit(1)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        item, node, n, place = joined(left, *ITEM_KINDS)
-        known, component = joined(right, "i8", "i8")
-        comp = node.copy()
-        if len(known):
-            order = np.argsort(known)
-            known, component = known[order], component[order]
-            at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-            comp = np.where(known[at] == node, component[at], node)
-        return propose(item, node, n.astype(np.int64), place.astype(np.int64), comp)
+        try:
+            return propose(Shard(left, right)) if left.num_rows else pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]).empty_table()
+        finally:
+            release()
 
-    return shared.repartition(shards, "shard").groupBy("shard").cogroup(labels.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, schema)
+    return shared.repartition(shards, "shard").groupBy("shard").cogroup(right.repartition(shards, "shard").groupBy("shard")).applyInArrow(run, schema)
 
 
-def _room(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m items whose first common item is at i and j can be similar."""
-    return np.minimum(n - i, m - j) >= needed(n, m, percent)
+def _counted(pairs: list[np.ndarray]) -> pa.Table:
+    """a, b and how often each pair is there; pairs of smaller and larger node."""
+    whole = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+    order = np.lexsort((whole[:, 1], whole[:, 0]))
+    whole = whole[order]
+    first = np.flatnonzero(np.concatenate([[True], (whole[1:] != whole[:-1]).any(1)])) if len(whole) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate([first, [len(whole)]])) if len(whole) else first
+    return pa.Table.from_arrays([pa.array(whole[first, 0]), pa.array(whole[first, 1]), pa.array(times)], ["a", "b", "n"])
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
-    left, right = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-    both = np.unique(np.column_stack([np.minimum(left, right), np.maximum(left, right)]), axis=0)
-    return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+PAIRS = "a long, b long, n long"
 
 
-def offered_pairs(shared: DataFrame, labels: DataFrame, shards: int, percent: int, most: int, seed: int, tried: DataFrame | None) -> DataFrame:
-    """For each node, up to `most` pairs with nodes of other components, linear in the shared items.
+def offered_pairs(shared: DataFrame, marks: list[DataFrame], shards: int, percent: int, most: int = OFFERS) -> DataFrame:
+    """For each node, up to `most` pairs with other nodes, linear in the shared items.
 
-    In a few orders that depend on the seed, each item's group offers neighbours to each other.  Of a
-    node's offers that leave room for the overlap and aren't tried yet, those with the most shared items are taken.
+    Each item's nodes are paired with their pivot, and with neighbours in the order of size and in one at
+    random.  Of a node's offers that can be similar, those with the most shared items are taken.
     """
 
-    def propose(item: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray) -> pa.Table:
-        pairs = [np.zeros((0, 3), np.int64)]
-        for k in range(most):
-            order = np.lexsort((mix(node.astype(U64) + U64(1000 * seed + k)), item))
+    def propose(shard: Shard) -> pa.Table:
+        place = np.arange(len(shard.item))
+        _, starts = grouped(shard.item)
+        size = np.diff(starts)
+        order = np.lexsort((mix(shard.node.astype(U64)), shard.place, shard.item))
+        chosen = [(place, np.repeat(order[starts[:-1]], size))]
+        for order in (place, np.lexsort((mix(shard.node.astype(U64)), shard.item))):
             i, j = order[:-1], order[1:]
-            i, j = (x[(item[i] == item[j]) & (comp[i] != comp[j])] for x in (i, j))
-            i, j = (x[_room(n[i], place[i], n[j], place[j], percent)] for x in (i, j))
-            pairs.append(np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), item[i].view(np.int64)]), axis=0))
-        pairs = np.unique(np.concatenate(pairs), axis=0)[:, :2]  # an item counts once for a pair
-        pairs, times = np.unique(pairs, axis=0, return_counts=True)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], ["a", "b", "n"])
-
-    offers = by_shard(shared, labels, shards, propose, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    offers = offers.join(tried, ["a", "b"], "left_anti") if tried is not None else offers
+            same = shard.item[i] == shard.item[j]
+            chosen.append((i[same], j[same]))
+        pairs = []
+        for i, j in chosen:
+            differ = shard.node[i] != shard.node[j]
+            i, j = i[differ], j[differ]
+            ok = shard.possible(i, j, percent)
+            a, b = shard.node[i[ok]], shard.node[j[ok]]
+            pairs.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
+        return _counted(pairs)
+
+    offers = by_shard(shared, marks, shards, propose, PAIRS).groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("node").orderBy(F.desc("n"), F.xxhash64("a", "b"))
     ranked = offers.withColumn("node", F.explode(F.array("a", "b"))).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= most).select("a", "b").distinct()
 
 
-def cross_pairs(shared: DataFrame, labels: DataFrame, shards: int, percent: int) -> DataFrame:
-    """For each shared item, every pair of nodes of different components that has room for the overlap."""
+def cross_pairs(shared: DataFrame, marks: list[DataFrame], shards: int, percent: int) -> DataFrame:
+    """For each shared item, every pair of nodes of different components that can be similar.
 
-    def propose(item: np.ndarray, node: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray) -> pa.Table:
-        if not len(item):
-            return _pairs([], [])
-        order = np.lexsort((n, item))
-        item, node, n, place, comp = item[order], node[order], n[order], place[order], comp[order]
-        new = np.concatenate([[True], item[1:] != item[:-1]])
-        starts = np.flatnonzero(new)
-        ends = np.concatenate([starts[1:], [len(item)]])
-        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
-        starts, ends = starts[mixed], ends[mixed]
-        step, a, b = 1, [], []
-        while len(starts):  # pairs at distance `step` in all groups at once
-            fits = ends - starts > step
-            starts, ends = starts[fits], ends[fits]
-            if not len(starts):
-                break
-            size = ends - starts - step
-            i = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts, size)
-            j = i + step
-            near = percent * n[j] <= 100 * n[i]  # sizes ascend in a group
-            group = np.repeat(np.arange(len(starts)), size)
-            ok = near & (comp[i] != comp[j]) & _room(n[i], place[i], n[j], place[j], percent)
-            a.append(node[i[ok]])
-            b.append(node[j[ok]])
-            alive = np.bincount(group[near], minlength=len(starts)) > 0
-            starts, ends = starts[alive], ends[alive]
-            step += 1
-        return _pairs(a, b)
-
-    return by_shard(shared, labels, shards, propose, "a long, b long").distinct()
-
-
-class PrefixTree:
-    """Sets in global order as a compressed trie; an edge is a run of items that all sets below share."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        keys = [s.astype(">u8").tobytes() for s in sets]
-        self.order = sorted(range(len(sets)), key=keys.__getitem__)
-        self.sets = [sets[i] for i in self.order]
-        self.common = [self._shared(x, y) for x, y in zip(self.sets, self.sets[1:], strict=False)]
-        self.size = np.array([len(s) for s in self.sets])
-
-    @staticmethod
-    def _shared(x: np.ndarray, y: np.ndarray) -> int:
-        k = min(len(x), len(y))
-        differ = np.flatnonzero(x[:k] != y[:k])
-        return int(differ[0]) if len(differ) else k
-
-    def similar(self, query: np.ndarray, percent: int) -> list[int]:
-        """Indexes of the given sets that are similar to query."""
-        found, nq = [], len(query)
-        stack = [(0, len(self.sets), 0, 0)]  # sets from, to; depth reached; overlap up to it
-        while stack:
-            lo, hi, depth, overlap = stack.pop()
-            edge = min(self.common[lo : hi - 1], default=len(self.sets[lo]))
-            run = self.sets[lo][depth:edge]
-            if len(run):
-                at = np.searchsorted(query, run)
-                overlap += int((query[np.minimum(at, nq - 1)] == run).sum())
-                left = nq - int(np.searchsorted(query, run[-1], "right"))
-            else:
-                left = nq - (int(np.searchsorted(query, self.sets[lo][depth - 1], "right")) if depth else 0)
-            size = self.size[lo:hi]
-            best = min(max(edge + left, int(size.min())), int(size.max()))
-            if overlap + min(left, best - edge) < needed(nq, best, percent):
-                continue
-            at = lo
-            while at < hi:  # children: sets that share more than the edge
-                to = at + 1
-                while to < hi and self.common[to - 1] > edge:
-                    to += 1
-                if to - at == 1 and len(self.sets[at]) == edge:
-                    if overlap >= needed(nq, edge, percent):
-                        found.append(self.order[at])
-                else:
-                    stack.append((at, to, edge, overlap))
-                at = to
-        return found
-
-
-def _bloom_bits(ids: np.ndarray) -> np.ndarray:
+    Only nodes outside the item's largest component look for partners, among all of its nodes within
+    their range of sizes; so a group of copies that is joined already costs nothing.
+    """
+
+    def propose(shard: Shard) -> pa.Table:
+        _, starts = grouped(shard.item)
+        size = np.diff(starts)
+        group = np.repeat(np.arange(len(size)), size)
+        # the largest component of each group
+        order = np.lexsort((shard.component, group))
+        new = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (shard.component[order][1:] != shard.component[order][:-1])]))
+        times = np.diff(np.concatenate([new, [len(order)]]))
+        run = np.lexsort((times, group[order][new]))
+        last = np.flatnonzero(np.concatenate([group[order][new][run][1:] != group[order][new][run][:-1], [True]]))
+        bulk = shard.component[order][new][run][last]
+        seeks = np.flatnonzero(shard.component != bulk[group])
+        if not len(seeks):
+            return _counted([])
+        # partners: the run of its group with sizes from percent of its own up; among the seekers the earlier entry asks
+        keyed = group << 32 | shard.n
+        lo = np.searchsorted(keyed, group[seeks] << 32 | -(-percent * shard.n[seeks] // 100), "left")
+        hi = np.searchsorted(keyed, group[seeks] << 32 | (100 * shard.n[seeks] // percent), "right")
+        seeking = np.zeros(len(group), bool)
+        seeking[seeks] = True
+        total = np.cumsum(hi - lo)
+        found, at = [], 0
+        while at < len(seeks):  # some pairs at a time
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
+            width = (hi - lo)[at:to]
+            i = np.repeat(seeks[at:to], width)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width) + np.repeat(lo[at:to], width)
+            ok = (shard.component[i] != shard.component[j]) & (~seeking[j] | (j > i))
+            i, j = i[ok], j[ok]
+            ok = shard.possible(i, j, percent)
+            a, b = shard.node[i[ok]], shard.node[j[ok]]
+            found.append(np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0))
+            at = to
+        return _counted(found)
+
+    return by_shard(shared, marks, shards, propose, PAIRS).select("a", "b").distinct()
+
+
+def _bloom_bits(ids: np.ndarray, size: int) -> np.ndarray:
     h = mix(ids.astype(U64))
-    return np.concatenate([(h >> U64(s)) & U64(BLOOM_BITS - 1) for s in (0, 30)]).astype(np.int64)
+    return np.concatenate([(h >> U64(s)) & U64(size - 1) for s in (0, 30)]).astype(np.int64)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size that holds all ids of the one column, and some others."""
+def _bloom(ids: DataFrame, size: int) -> np.ndarray:
+    """A table of `size` bits that holds all ids of the one column, and some others."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_bloom_bits(batch.column(0).to_numpy())] = True
+            bits[_bloom_bits(batch.column(0).to_numpy(), size)] = True
         for i, part in enumerate(np.split(np.packbits(bits), 64)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack(part)], pa.binary())], ["shard", "body"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(BLOOM_BITS // 8 // 64, np.uint8)
+        out = np.zeros(size // 8 // 64, np.uint8)
         for body in table.column("body").to_pylist():
             out |= unpack(body, "u1")[0]
         return pa.Table.from_batches([blob_batch([(key[0].as_py(), pack(out))])])
 
-    out = np.zeros(BLOOM_BITS // 8, np.uint8).reshape(64, -1)
+    out = np.zeros(size // 8, np.uint8).reshape(64, -1)
     for row in ids.mapInArrow(fill, BLOB).groupBy("shard").applyInArrow(merge, BLOB).collect():  # 64 rows at most
         out[row.shard] = unpack(bytes(row.body), "u1")[0]
     return out.reshape(-1)
 
 
-def node_bodies(homes: DataFrame, documents: DataFrame, nodes: DataFrame, width: int, text: str, doc_id: str) -> DataFrame:
-    """(node, text compressed) of every node that shares an early item, in one pass over the documents."""
-    wanted = stored(nodes.join(homes.select("node"), "node", "left_semi").select("node", F.col("id").alias("id"), "s1"), "wanted")
-    table = zstandard.ZstdCompressor(level=1).compress(_bloom(wanted.select("id")).tobytes())
+def node_bodies(homes: DataFrame, documents: DataFrame, nodes: DataFrame, width: int, text: str, doc_id: str, key: int) -> DataFrame:
+    """(node, home, text compressed) of every node that shares an early item, in one pass over the documents.
+
+    With up to BLOOM_IDS such nodes the pass gets a bit table of their ids and sends on few other texts;
+    beyond that all texts meet the nodes in the join.
+    """
+    wanted = stored(nodes.join(homes.select("node", "home").hint("merge"), "node").select("node", "home", "id", "s1"), "wanted")
+    count = wanted.count()
+    size = max(1 << 16, 1 << (16 * count).bit_length())
+    table = zstandard.ZstdCompressor(level=1).compress(_bloom(wanted.select("id"), size).tobytes()) if count <= BLOOM_IDS else None
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(table), np.uint8)
+        bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(table), np.uint8) if table else None
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            at = _bloom_bits(ids).reshape(2, -1)
-            rows = np.flatnonzero(((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0))
+            ids, rows = batch.column(0).to_numpy(), np.arange(batch.num_rows)
+            if bits is not None:
+                at = _bloom_bits(ids, size).reshape(2, -1)
+                rows = np.flatnonzero(((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0))
             if not len(rows):
                 continue
             texts = Texts.of(batch.column(1).take(pa.array(rows)))
             for first, part in texts.chunks():
-                doc, keys = shingle_hashes(part, width)
-                bounds = np.searchsorted(doc, np.arange(part.n + 1))
-                total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(keys + U64(1)), dtype=U64)])
-                s1 = mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)).view(np.int64)
+                doc, keys = shingle_hashes(part, width, key)
+                s1 = _set_hash(keys, np.searchsorted(doc, np.arange(part.n + 1)), 1)
                 packer = zstandard.ZstdCompressor(level=3)
                 blobs = [packer.compress(part.bytes_of(i)) for i in range(part.n)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[first : first + part.n]]), pa.array(s1), pa.array(blobs, pa.binary())], ["id", "s1", "body"])
+        release()
 
     rows = documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text)).mapInArrow(pick, "id long, s1 long, body binary")
-    return stored(rows.join(wanted, ["id", "s1"]).dropDuplicates(["node"]).select("node", "body"), "bodies")
+    bodies = stored(rows.join(wanted.hint("merge"), ["id", "s1"]).dropDuplicates(["node"]).select("node", "home", "body"), "bodies")
+    discard(wanted)
+    return bodies
 
 
-def verified(pairs: DataFrame, bodies: DataFrame, shards: int, width: int, percent: int) -> DataFrame:
-    """The pairs, each with whether its sets are similar."""
-    # a node with very many candidates is dealt over several groups, each of about PROBE_PAIRS
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PROBE_PAIRS).alias("parts"))
-    shard = F.pmod(F.xxhash64("a", "part"), F.lit(shards)).cast("int").alias("shard")
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
-    candidates = pairs.join(parts, "a").select("a", "b", part).join(bodies.select(F.col("node").alias("b"), F.col("body").alias("text")), "b").select("a", "b", "text", shard)
-    probes = bodies.select(F.col("node").alias("a"), F.col("body").alias("body")).join(parts, "a").select("a", "body", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("a", "body", shard)
+def verified(pairs: DataFrame, bodies: DataFrame, cells: int, width: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], key: int) -> DataFrame:
+    """The pairs (a, b), which must be a stored table, that are similar."""
+    # a pair belongs to the cell of a's home; a cell of too many pairs is cut along both sides
+    cell = F.pmod(F.xxhash64("home"), F.lit(cells)).alias("cell")
+    placed = pairs.join(bodies.select(F.col("node").alias("a"), cell).hint("merge"), "a")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.sqrt(F.count("*") / CELL_PAIRS)).alias("cuts"))
+    side = lambda c: F.pmod(F.xxhash64(c), F.col("cuts"))
+    placed = stored(placed.join(sizes, "cell").select("a", "b", F.xxhash64("cell", side("a"), side("b")).alias("at")), "placed")
+    sent = placed.select("at", F.explode(F.array("a", "b")).alias("node")).distinct().join(bodies.select("node", "body").hint("merge"), "node").select(F.col("at").alias("to"), "node", "body")
 
     def sets(column: pa.ChunkedArray) -> list[np.ndarray]:
         out, opener = [], zstandard.ZstdDecompressor()
         for _, part in Texts.of(pa.array([opener.decompress(x) for x in column.to_pylist()], pa.binary())).chunks():
-            doc, keys = shingle_hashes(part, width)
-            out += np.split(keys, np.searchsorted(doc, np.arange(1, part.n)))
+            doc, rank = ordered(*shingle_hashes(part, width, key), frequent)
+            out += np.split(rank, np.searchsorted(doc, np.arange(1, part.n)))
         return out
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, bool]] = []
-        if left.num_rows and right.num_rows:
-            right = right.sort_by("a")
-            of, other = right.column("a").to_numpy(), right.column("b").to_numpy()
-            for a, query in zip(left.column("a").to_pylist(), sets(left.column("body")), strict=True):
-                lo, hi = np.searchsorted(of, [a, a + 1])
-                for at in range(lo, hi, 512):  # a tree of bounded size at a time
-                    to = min(hi, at + 512)
-                    hits = set(PrefixTree(sets(right.column("text").slice(at, to - at))).similar(query, percent))
-                    out += [(a, b, i in hits) for i, b in enumerate(other[at:to].tolist())]
-        return pa.Table.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.bool_())], ["a", "b", "linked"])
-
-    return stored(probes.groupBy("shard").cogroup(candidates.groupBy("shard")).applyInArrow(check, "a long, b long, linked boolean"), "verified")
-
-
-def _prepared(documents: DataFrame, width: int, percent: int, text: str, doc_id: str, shards: int) -> tuple[DataFrame, ...]:
-    """The rows of documents without text, their nodes, the shared items, where nodes have some, and those nodes' texts."""
-    frequent = _frequent(documents, text, width)
-    rows = stored(profiles(documents, frequent, width, percent, text, doc_id), "profiles")
-    sets = rows.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("early").alias("early"))
-    nodes = stored(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
-    shared = stored(shared_items(nodes, shards), "shared")
-    homes = stored(node_homes(shared), "homes")
-    return rows, nodes, shared, homes, node_bodies(homes, documents, nodes, width, text, doc_id)
+        a, b = (left.column(c).to_numpy() for c in "ab")
+        if len(a):
+            right = right.sort_by("node")
+            node = right.column("node").to_numpy()
+            ok = PrefixTree(sets(right.column("body"))).similar(np.searchsorted(node, a), np.searchsorted(node, b), percent)
+            a, b = a[ok], b[ok]
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = stored(placed.repartition(cells, "at").groupBy("at").cogroup(sent.repartition(cells, "to").groupBy("to")).applyInArrow(check, "a long, b long"), "verified")
+    discard(placed)
+    return links
+
+
+class Prepared:
+    """What both results start from: documents without text, their nodes, the shared items, sketches by shard, and texts of nodes."""
+
+    def __init__(self, documents: DataFrame, width: int, percent: int, text: str, doc_id: str, shards: int | None):
+        counted, dropped = shard_number(documents, text)
+        self.shards, self.key = shards or counted, secrets.randbits(64)
+        self.frequent = _frequent(documents, text, width, self.key)
+        whole = stored(profiles(documents, self.frequent, width, percent, text, doc_id, self.key, dropped), "profiles")
+        self.rows = stored(whole.drop("early", "sketch"), "rows")
+        sets = self.rows.where(F.col("n") > 0).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+        self.nodes = stored(sets.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+        one_each = whole.select("id", "s1", "s2", "early", "sketch").join(self.nodes.hint("merge"), ["id", "s1", "s2"])
+        self.shared = stored(shared_items(one_each.select("node", "n", "early"), self.shards), "shared")
+        self.homes = stored(node_homes(self.shared), "homes")
+        self.marks = stored(by_home(one_each.select("node", "sketch").dropDuplicates(["node"]), self.homes, "sketch"), "marks")
+        discard(whole)
+        self.bodies = node_bodies(self.homes, documents, self.nodes, width, text, doc_id, self.key)
+
+    def check(self, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+        out = verified(pairs, self.bodies, self.shards, width, percent, self.frequent, self.key)
+        discard(pairs)
+        return out
 
 
 def link_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
     """a_s1, a_s2, a_id, b_s1, b_s2, b_id: every pair of different sets that are similar, once, with the least id of each.
 
     Pairs inside a component are decided like all others, so a group of n different near copies gives up
-    to n * (n - 1) / 2 rows.  The hashes of `component_table` say which rows of documents have a set.
+    to n * (n - 1) / 2 rows.  The hashes, keyed anew in each run, tell different sets of one id apart.
     """
-    shards = shards or shard_count(documents, text)
-    _, nodes, shared, homes, bodies = _prepared(documents, width, percent, text, doc_id, shards)
-    every = stored(cross_pairs(shared, labels_by_shard(None, homes, shards), shards, percent), "pairs")
-    links = verified(every, bodies, shards, width, percent).where("linked").select("a", "b")
+    it = Prepared(documents, width, percent, text, doc_id, shards)
+    links = it.check(stored(cross_pairs(it.shared, [it.marks], it.shards, percent), "pairs"), width, percent)
     for end in ("a", "b"):
-        links = links.join(nodes.select(F.col("node").alias(end), F.col("s1").alias(f"{end}_s1"), F.col("s2").alias(f"{end}_s2"), F.when(F.col("id") != NO_ID, F.col("id")).alias(f"{end}_id")), end)
+        links = links.join(it.nodes.select(F.col("node").alias(end), F.col("s1").alias(f"{end}_s1"), F.col("s2").alias(f"{end}_s2"), F.when(F.col("id") != NO_ID, F.col("id")).alias(f"{end}_id")), end)
     return links.select("a_s1", "a_s2", "a_id", "b_s1", "b_s2", "b_id")
 
 
 def component_table(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, s1, s2 (hashes of the set): a row per row of documents."""
-    shards = shards or shard_count(documents, text)
-    rows, nodes, shared, homes, bodies = _prepared(documents, width, percent, text, doc_id, shards)
-    links = tried = known = None
-    for turn, most in enumerate(OFFERS):
-        labels = labels_by_shard(known, homes, shards)
-        done = verified(stored(offered_pairs(shared, labels, shards, percent, most, turn, tried), "pairs"), bodies, shards, width, percent)
-        found = done.where("linked").select("a", "b")
-        links, tried = (links.unionByName(found), tried.unionByName(done.select("a", "b"))) if tried is not None else (found, done.select("a", "b"))
-        if found.isEmpty():
-            break
-        known = components(links)
-    labels = labels_by_shard(known, homes, shards)
-    rest = stored(cross_pairs(shared, labels, shards, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    second = verified(rest, bodies, shards, width, percent)
-    whole = components(links.unionByName(second.where("linked").select("a", "b")))
-    placed = nodes.select("node", "s1", "s2", "id").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """doc_id, n_shingles, component_id: a row per row of documents."""
+    it = Prepared(documents, width, percent, text, doc_id, shards)
+    links = it.check(stored(offered_pairs(it.shared, [it.marks], it.shards, percent), "pairs"), width, percent)
+    known = stored(components(links), "known")
+    labels = by_home(known.where("node <> component"), it.homes, "component")
+    rest = it.check(stored(cross_pairs(it.shared, [it.marks, labels], it.shards, percent), "pairs"), width, percent)
+    discard(it.shared, it.marks, it.bodies, it.homes, links)
+    for end in ("a", "b"):  # links between components as links of their least nodes
+        label = known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+        rest = rest.join(label, end, "left").withColumn(end, F.coalesce(f"{end}_of", end)).drop(f"{end}_of")
+    more = stored(components(rest), "more")
+    whole = known.join(more.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    whole = whole.unionByName(more.join(known.select("node"), "node", "left_anti"))
+    placed = it.nodes.select("node", "s1", "s2", "id").join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     placed = placed.join(least, "component").select("s1", "s2", "component_id")
-    out = rows.drop("early").join(placed, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = it.rows.join(placed, ["s1", "s2"], "left").withColumn("component_id", F.coalesce("component_id", "id"))
     clean = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(clean("id").alias("doc_id"), F.col("n").alias("n_shingles"), clean("component_id").alias("component_id"), "s1", "s2")
+    return out.select(clean("id").alias("doc_id"), F.col("n").alias("n_shingles"), clean("component_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

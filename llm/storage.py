@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of written tables that nothing has deleted yet, by the application they belong to.
+_written: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, a local folder (for tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, or the checkpoint folder set on its context.
+
+    Where both are unset, a local session gets a temporary folder; on a cluster that is a ValueError.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(frame: DataFrame, label: str = "table") -> DataFrame:
@@ -32,22 +41,70 @@ def stored(frame: DataFrame, label: str = "table") -> DataFrame:
     """
     path = fresh_path(frame.sparkSession, label)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame, shuffles: bool = True) -> None:
+    """Delete stored tables that nothing reads any more, and (if `shuffles`) what finished jobs have shuffled."""
+    for table in tables:
+        spark = table.sparkSession
+        _delete(spark, table.stored_at)
+        _written[spark.sparkContext.applicationId].remove(table.stored_at)
+    if tables and shuffles:
+        release_shuffles(tables[0].sparkSession)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files when the driver's garbage collection meets it: collect now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard_all_but(docs: DataFrame) -> None:
+    """Delete all tables stored so far in this application that docs does not read."""
+    spark = docs.sparkSession
+    needed = [f.replace("file:///", "file:/") for f in docs.inputFiles()]
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    for path in list(paths):
+        bare = path.replace("file:///", "file:/")
+        if not any(bare in f for f in needed):
+            _delete(spark, path)
+            paths.remove(path)
+    release_shuffles(spark)
 
 
 def largest(frame: DataFrame, column: str, most: int) -> DataFrame:
-    """Rows with the largest whole numbers (from 1) in a column, at most `most` of them.
+    """Rows with the largest whole numbers (from 1) in a column: exactly `most` of them, or all if there are fewer.
 
-    A histogram of at most 4096 buckets finds the least bucket that still fits, and a filter takes what
-    lies in or above it; so no task sends rows that are not in the result, as a sorted limit would.
-    frame should be stored: it is read twice.
+    A histogram of at most 4096 buckets, 64 to the octave, finds the buckets that fit whole.  Of the one
+    that straddles the limit a hash of the rows decides, by a second histogram, and only the rest of one
+    of its 4096 parts goes through a limit: tasks send no rows that are not in the result but for that
+    part's.  frame should be stored: it is read three times.
     """
-    bucket = F.floor(F.log2(F.col(column)) * 64).cast("int")
-    sizes = {r.bucket: r.n for r in frame.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()}
-    total, cutoff = 0, 1 << 30
-    for b in sorted(sizes, reverse=True):
-        total += sizes[b]
-        if total > most:
-            break
-        cutoff = b
-    return frame.where(bucket >= cutoff)
+    bucket, part = F.floor(F.log2(F.col(column)) * 64).cast("int"), F.pmod(F.xxhash64(*frame.columns), F.lit(4096))
+
+    def fitting(rows: DataFrame, key: Column, room: int) -> tuple[list[int], int | None, int]:
+        """Buckets that fit whole from the largest down, the one that straddles the limit, and the room left for it."""
+        sizes = {r.key: r.n for r in rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).collect()}
+        whole: list[int] = []
+        for b in sorted(sizes, reverse=True):
+            if sizes[b] > room:
+                return whole, b, room
+            whole.append(b)
+            room -= sizes[b]
+        return whole, None, room
+
+    whole, cut, room = fitting(frame, bucket, most)
+    if cut is None:
+        return frame
+    out, straddling = frame.where(bucket > cut), frame.where(bucket == cut)
+    whole, last, room = fitting(straddling, part, room)
+    out = out.unionByName(straddling.where(part >= min(whole))) if whole else out
+    return out.unionByName(straddling.where(part == last).limit(room)) if room else out

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 from llm.components import components
-from llm.ngram_join import PrefixTree, component_table, keep_one, link_table
+from llm.ngram_join import component_table, keep_one, link_table, sketches
+from llm.prefix_tree import PrefixTree
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,14 +82,46 @@ def test_all_links(spark):
     assert sum(j < 14 for _, j in want) > 13  # more than hold a component together
 
 
-def test_tree():
+def test_tree(monkeypatch):
     rng = random.Random(5)
-    sets = [np.unique(np.array(rng.sample(range(40), rng.randrange(1, 25)), np.uint64)) for _ in range(200)]
-    sets += [sets[0], sets[1]]
-    tree = PrefixTree(sets)
-    for query in sets[:50]:
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(query, s)) >= 80 * len(np.union1d(query, s))]
-        assert sorted(tree.similar(query, 80)) == want
+    sets = [np.unique(np.array(rng.sample(range(40), rng.randrange(1, 25)), np.uint64)) for _ in range(100)]
+    base = [rng.randrange(2**63) for _ in range(300)]
+    for _ in range(60):  # near copies
+        gone = rng.choice([0.05, 0.1, 0.12])
+        sets.append(np.unique(np.array([x for x in base if rng.random() > gone] + [rng.randrange(2**63) for _ in range(rng.randrange(30))], np.uint64)))
+    sets += [sets[0], sets[1], sets[120]]
+    left, right = (np.array([rng.randrange(len(sets)) for _ in range(3000)]) for _ in range(2))
+    want = [100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in zip(left, right, strict=True)]
+    assert PrefixTree(sets).similar(left, right, 80).tolist() == want and sum(want) > 50
+    monkeypatch.setattr("llm.prefix_tree.STEP_ITEMS", 100)
+    assert PrefixTree(sets).similar(left, right, 80).tolist() == want
+    assert PrefixTree(sets).similar(left[:0], right[:0], 80).tolist() == []
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = random.Random(6)
+    for _ in range(200):
+        x = {rng.randrange(2**63) for _ in range(rng.randrange(1, 400))}
+        y = set(rng.sample(sorted(x), rng.randrange(len(x) + 1))) | {rng.randrange(2**63) for _ in range(rng.randrange(60))}
+        keys = np.array(sorted(x) + sorted(y), np.uint64)
+        a, b = sketches(np.repeat([0, 1], [len(x), len(y)]), keys, 2)
+        assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Offers, rounds, cells and blocks that are cut all agree with brute force."""
+    monkeypatch.setattr("llm.ngram_join.CELL_PAIRS", 50)
+    monkeypatch.setattr("llm.ngram_join.BLOCK_PAIRS", 64)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(70)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            copy[rng.randrange(70)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, component_table(frame, shards=5).collect()), key=str) == brute(rows)
 
 
 def test_links(spark):
