@@ -8,8 +8,9 @@ the smallest id that holds it, so its text is not lost to the corpus.
 
 Lines are told apart by two 64-bit hashes.  Defined results: null text has no lines and stays null;
 empty text is one empty line; lines of spaces only are never boilerplate; a null site adds no site;
-equal rows get equal results, and all rows of the first holder's id keep the line; other columns pass
-through unchanged.
+equal rows get equal results, and all rows of the first holder's id keep the line; an empty table gives
+an empty table; input columns named n_lines or n_removed (in any case) are replaced, and all others
+pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.columns import numbered, place, untouched
 from llm.storage import stored
 
 MIN_SITES = 10
@@ -46,21 +48,24 @@ def boilerplate_lines(documents: DataFrame, min_sites: int = MIN_SITES, site: st
 
 def remove_boilerplate(documents: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """documents with the text without its boilerplate lines, and n_lines and n_removed (long)."""
+    names, kept_places = documents.columns, untouched(documents, "n_lines", "n_removed")
+    text, doc_id, site = (f"c{place(documents, c)}" for c in (text, doc_id, site))
+    documents = numbered(documents)
     spread = stored(boilerplate_lines(documents, min_sites, site, text, doc_id), "boilerplate")
     r1, r2 = _hashes(F.col(doc_id), F.col(text))
-    lines = documents.select(F.col(doc_id).alias("id"), r1.alias("__r1"), r2.alias("__r2"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = documents.select(F.col(doc_id).alias("id"), r1.alias("r1"), r2.alias("r2"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     h1, h2 = _hashes(F.col("line"))
-    held = lines.select("id", "__r1", "__r2", "pos", h1.alias("h1"), h2.alias("h2")).join(spread, ["h1", "h2"])
-    gone = held.where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("__r1", "__r2").agg(F.collect_set("pos").alias("__gone"))
-    rows = documents.withColumns({"__r1": r1, "__r2": r2}).join(gone, ["__r1", "__r2"], "left")
+    held = lines.select("id", "r1", "r2", "pos", h1.alias("h1"), h2.alias("h2")).join(spread, ["h1", "h2"])
+    gone = held.where(~F.col("id").eqNullSafe(F.col("first_id"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
+    rows = documents.withColumns({"r1": r1, "r2": r2}).join(gone, ["r1", "r2"], "left")
     parts = F.split(text, "\n")
     count = F.coalesce(F.size(parts), F.lit(0)).cast("long")
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
-    others = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    out = [kept.alias(text) if c == text else F.col(c) for c in others]
-    removed = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return rows.select(*out, F.when(F.col(text).isNull(), 0).otherwise(count).cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n"))
+    out = [kept if f"c{i}" == text else F.col(f"c{i}") for i in kept_places]
+    removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    counts = [F.when(F.col(text).isNull(), 0).otherwise(count).cast("long"), F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long")]
+    return rows.select(*out, *counts).toDF(*(names[i] for i in kept_places), "n_lines", "n_removed")
 
 
 #: Counts and the digest of what is left, on whole tables.

@@ -57,7 +57,7 @@ SHARD_BYTES = 8 << 20
 #: Pairs that a node is offered before all that are left are proposed.
 OFFERS = 3
 #: Pairs that one cell verifies, and texts that it holds, at about twice as many at most.
-CELL_PAIRS = 16_384
+CELL_PAIRS = 2_048
 #: Bits of a sketch.
 SKETCH = 512
 #: Pairs of a shard that are looked at together.

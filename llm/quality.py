@@ -8,7 +8,8 @@ and a batch is scored by walking all rows down one level at a time.  Everything
 
 Defined results: null or empty text has no words and is rejected by rule; documents without labels are
 scored like others; without any usable labels only the rules decide; repeated rows are judged one by
-one; extra columns pass through.
+one; an empty table gives an empty table; input columns with the name of an output (in any case) are
+replaced, and all others pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.columns import numbered, place, untouched
 from llm.text_arrays import PROCESS_KEY, Texts, Words, content_hashes, prefix_hashes, window_hashes
 
 SAMPLE_ROWS = 20_000
@@ -186,11 +188,11 @@ def fit_trees(x: np.ndarray, y: np.ndarray, directions: list[int], n_trees: int
 
 def _labelled(documents: DataFrame, labels: DataFrame, sample_rows: int, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the sample; at most sample_rows of them reach the driver."""
-    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("__quality"))
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
     # about 19 of 20 of the rows allowed, by hash: tasks send no more than that
     share = 0.95 * sample_rows / max(1, usable.count())
     chosen = usable if share >= 0.95 else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = chosen.limit(sample_rows).select(F.col("doc_id").alias("__labelled"), "__quality")
+    sample = chosen.limit(sample_rows).select(F.col("doc_id").alias("labelled"), "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,8 +201,9 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample_rows: int, text: s
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1).slice(at, part.n)], ["x", "y"])
 
     # sample has at most sample_rows rows of two numbers, so it is broadcast
-    rows = documents.join(F.broadcast(sample), F.col(doc_id) == F.col("__labelled"))
-    got = rows.select(F.col(text), F.col("__quality").cast("double")).mapInArrow(features, "x array<double>, y double").limit(2 * sample_rows).toPandas()
+    texts = numbered(documents).select(F.col(f"c{place(documents, doc_id)}").alias("id"), F.col(f"c{place(documents, text)}").alias("body"))
+    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("labelled"))
+    got = rows.select("body", "quality").mapInArrow(features, "x array<double>, y double").limit(2 * sample_rows).toPandas()
     return np.array(got.x.tolist(), float).reshape(-1, len(FEATURES)), got.y.to_numpy(float)
 
 
@@ -230,9 +233,11 @@ def rules_pass(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
 def judge(documents: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """documents with the counts, base_failed, quality_score (null without trees) and kept."""
     added = [*COUNTS, "base_failed", "quality_score", "kept"]
-    others = [c for c in documents.columns if c not in added]
+    names, outer = documents.columns, untouched(documents, *added)
+    text, others = f"c{place(documents, text)}", [f"c{i}" for i in outer]
+    documents = numbered(documents)
     kinds = [T.LongType()] * len(COUNTS) + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
-    schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(*x) for x in zip(added, kinds, strict=True)])
+    schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(f"out_{n}", k) for n, k in zip(added, kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,6 +248,6 @@ def judge(documents: DataFrame, trees: Trees | None, text: str = "text") -> Data
                 kept = ~failed & (score >= trees.cutoff if trees else True)
                 columns = [batch.column(c).slice(at, part.n) for c in others] + [pa.array(counts[c]) for c in COUNTS]
                 columns += [pa.array(failed), pa.array(score, from_pandas=True), pa.array(kept)]
-                yield pa.RecordBatch.from_arrays(columns, [*others, *added])
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return documents.select(*others).mapInArrow(run, schema)
+    return documents.select(*others).mapInArrow(run, schema).toDF(*(names[i] for i in outer), *added)

@@ -17,8 +17,9 @@ Documents are dealt by id once; steps 2 and 4 reuse that exchange.  One stretch
 documents hold becomes one entry of a shard with many holders, never pairs of them.
 
 Defined results: null text counts as empty; rows with equal ids never remove anything from each
-other; rows with a null id come after all others; texts shorter than a window are kept; other
-columns pass through unchanged, whatever their names.
+other; rows with a null id come after all others; texts shorter than a window are kept; an empty table
+gives an empty table; input columns with the name of an output (in any case) are replaced by it, and
+all others pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +32,16 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.columns import numbered, place, untouched
 from llm.text_arrays import U64, Texts, Words, byte_values, gather_spans, grouped, minimisers, mix, pack, prefix_hashes, release, span_hashes, unpack, window_hashes
 
 NO_ID = 2**63 - 1
 ID, DEAL = "__repeat_id", "__repeat_deal"
 SHARD_BYTES = 2 << 20
+#: A task works through several shards where there are more.
+MOST_TASKS = 20_000
+#: Stands for an id in the entry of a key that a batch has found under two ids.
+FOUND = -(2**63)
 BLOB = "shard int, body binary"
 
 
@@ -58,9 +64,9 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 def blob_rows(shard: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(shard, packed arrays) for each shard that has entries; shard must ascend."""
-    bounds = np.searchsorted(shard, np.arange(shards + 1))
-    for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
-        yield int(s), pack(*(a[bounds[s] : bounds[s + 1]] for a in arrays))
+    bounds = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist() if len(shard) else []
+    for at, to in zip(bounds, bounds[1:], strict=False):
+        yield int(shard[at]), pack(*(a[at:to] for a in arrays))
 
 
 def blob_batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -74,8 +80,8 @@ def joined(table: pa.Table, *kinds: str) -> list[np.ndarray]:
 
 
 def spread(packed: DataFrame, shards: int) -> GroupedData:
-    """Groups by shard, over as many tasks as there are shards: packed rows look small to the planner, their work is not."""
-    return packed.repartition(shards, "shard").groupBy("shard")
+    """Groups by shard, over as many tasks as there are shards, or MOST_TASKS: packed rows look small to the planner, their work is not."""
+    return packed.repartition(min(shards, MOST_TASKS), "shard").groupBy("shard")
 
 
 class Anchors:
@@ -108,7 +114,12 @@ def pair_keys(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(documents: DataFrame, shards: int, unit: str, k: int, width: int, text: str) -> DataFrame:
-    """Step 1.  (shard of documents, packed (id, key)) for the keys that occur under two ids or more."""
+    """Step 1.  (shard of documents, packed (id, key)) for the keys that occur under two ids or more.
+
+    A key that has two ids in one batch is settled there: its holders go straight to their documents'
+    shards, and the key's shard gets one entry that says so.  So a key that a third of all documents
+    hold is one entry for each batch in its shard.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,25 +135,41 @@ def shared_keys(documents: DataFrame, shards: int, unit: str, k: int, width: int
             if len(keys):  # once per document
                 new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])
                 keys, docs = keys[new], docs[new]
-                yield blob_batch(list(blob_rows(shard_of(keys, shards), shards, keys, ids[docs], deal[docs])))
+                held, where = ids[docs], deal[docs]
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                found = np.minimum.reduceat(held, starts) != np.maximum.reduceat(held, starts)
+                settled = np.repeat(found, np.diff(np.concatenate([starts, [len(keys)]])))
+                order = np.lexsort((held[settled], where[settled]))
+                yield _kinds(1, list(blob_rows(where[settled][order], shards, held[settled][order], keys[settled][order])))
+                open_ = ~settled
+                open_[starts[found]] = True  # stays as the entry that says so
+                held, where = np.where(settled, FOUND, held)[open_], where[open_]
+                yield _kinds(0, list(blob_rows(shard_of(keys[open_], shards), shards, keys[open_], held, where)))
             del keys, docs, order
             release()
 
     def find(key: tuple, table: pa.Table) -> pa.Table:
-        keys, ids, deal = joined(table, "u8", "i8", "i4")
-        order, starts = grouped(keys)
-        ids, deal, keys = ids[order], deal[order], keys[order]
-        size = np.diff(starts)
-        many = np.repeat(np.minimum.reduceat(ids, starts[:-1]) != np.maximum.reduceat(ids, starts[:-1]), size)
-        ids, deal, keys = ids[many], deal[many], keys[many]
-        order = np.lexsort((keys, ids, deal))
-        rows = list(blob_rows(deal[order], shards, ids[order], keys[order]))
+        kinds = table.column("kind").to_numpy()
+        rows = [(key[0].as_py(), body) for body in table.filter(pa.array(kinds == 1)).column("body").to_pylist()]
+        keys, ids, deal = joined(table.filter(pa.array(kinds == 0)), "u8", "i8", "i4")
+        if len(keys):
+            order, starts = grouped(keys)
+            ids, deal, keys = ids[order], deal[order], keys[order]
+            many = np.repeat(np.minimum.reduceat(ids, starts[:-1]) != np.maximum.reduceat(ids, starts[:-1]), np.diff(starts)) & (ids != FOUND)
+            ids, deal, keys = ids[many], deal[many], keys[many]
+            order = np.lexsort((keys, ids, deal))
+            rows += blob_rows(deal[order], shards, ids[order], keys[order])
         return pa.Table.from_batches([blob_batch(rows)])
 
-    packed = documents.select(ID, DEAL, text).mapInArrow(emit, BLOB)
+    packed = documents.select(ID, DEAL, text).mapInArrow(emit, f"{BLOB}, kind int")
     return spread(packed, shards).applyInArrow(find, BLOB)
 
 
+def _kinds(kind: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    batch = blob_batch(rows)
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(rows), kind, np.int32))], ["shard", "body", "kind"])
+
+
 def segments(documents: DataFrame, shared: DataFrame, shards: int, unit: str, k: int, width: int, text: str) -> DataFrame:
     """Step 2.  (shard of keys, packed stretches): bytes, their lengths, id, mark, first window's place, shard of documents."""
 
@@ -166,11 +193,8 @@ def segments(documents: DataFrame, shared: DataFrame, shards: int, unit: str, k:
         body, offsets = gather_spans(body, (ends - size)[order], ends[order])
         shard = shard_of(keys[order], shards)
         heads = [x[order] for x in (size.astype(np.uint32), ids, marks, place.astype(np.int64), deal)]
-        bounds = np.searchsorted(shard, np.arange(shards + 1))
-        rows = []
-        for s in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            i, j = bounds[s], bounds[s + 1]
-            rows.append((int(s), pack(body[offsets[i] : offsets[j]]), pack(*(x[i:j] for x in heads))))
+        bounds = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist() if len(shard) else []
+        rows = [(int(shard[i]), pack(body[offsets[i] : offsets[j]]), pack(*(x[i:j] for x in heads))) for i, j in zip(bounds, bounds[1:], strict=False)]
         release()
         return pa.Table.from_pylist([dict(zip(SEGMENTS.names, r, strict=True)) for r in rows], SEGMENTS)
 
@@ -254,6 +278,9 @@ def spans_of(right: pa.Table) -> tuple[np.ndarray, ...]:
 def cut_repeats(documents: DataFrame, unit: str, k: int, width: int, resolve: Callable[[Stretches, int], pa.Table], text: str, doc_id: str, outputs: list[tuple[str, str, T.DataType]], shards: int | None = None) -> DataFrame:
     """documents without `text`, plus the outputs: (kind, column name, type) with kind kept, items, removed or spans."""
     shards = shards or shard_count(documents, text)
+    names, outer = documents.columns, untouched(documents, text, *(name for _, name, _ in outputs))
+    text, doc_id = f"c{place(documents, text)}", f"c{place(documents, doc_id)}"
+    documents = numbered(documents)
     rows = dealt(documents, shards, doc_id)
     shared = shared_keys(rows, shards, unit, k, width, text)
     stretches = segments(rows, shared, shards, unit, k, width, text)
@@ -265,8 +292,8 @@ def cut_repeats(documents: DataFrame, unit: str, k: int, width: int, resolve: Ca
             release()
 
     spans = spread(stretches, shards).applyInArrow(compare, BLOB)
-    others = [c for c in documents.columns if c not in (text, *(name for _, name, _ in outputs))]
-    schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(name, kind) for _, name, kind in outputs])
+    others = [f"c{i}" for i in outer]
+    schema = T.StructType([documents.schema[c] for c in others] + [T.StructField(f"out_{kind}", of) for kind, _, of in outputs])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         found = spans_of(right)
@@ -287,13 +314,13 @@ def cut_repeats(documents: DataFrame, unit: str, k: int, width: int, resolve: Ca
             total = np.concatenate([[0], np.cumsum(start)])
             got["spans"].append(total[bounds[1:]] - total[bounds[:-1]])
             got["kept"].append(kept_words(words, ~gone) if words else kept_bytes(part, ~gone))
-        kinds = dict((name, kind) for kind, name, _ in outputs)
         columns = [left.column(c) for c in others]
-        for name, kind in kinds.items():
+        for kind, _, _ in outputs:
             columns.append(pa.chunked_array(got[kind], type=ARROW_KEPT[unit]) if kind == "kept" else pa.array(np.concatenate([np.zeros(0, np.int64), *got[kind]]), pa.int64()))
-        return pa.Table.from_arrays(columns, [*others, *kinds])
+        return pa.Table.from_arrays(columns, schema.names)
 
-    return rows.groupBy(DEAL).cogroup(spans.groupBy("shard")).applyInArrow(cut, schema)
+    out = rows.groupBy(DEAL).cogroup(spans.groupBy("shard")).applyInArrow(cut, schema)
+    return out.toDF(*(names[i] for i in outer), *(name for _, name, _ in outputs))
 
 
 ARROW_KEPT = {"word": pa.string(), "byte": pa.binary()}

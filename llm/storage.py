@@ -6,12 +6,16 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Paths of written tables that nothing has deleted yet, by the application they belong to.
 _written: dict[str, list[str]] = {}
+#: Those of them that a stage of a pipeline has written for itself.
+_staged: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,17 +71,24 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def discard_all_but(docs: DataFrame) -> None:
-    """Delete all tables stored so far in this application that docs does not read."""
+@contextmanager
+def stage_tables(docs: DataFrame) -> Iterator[None]:
+    """A stage of a pipeline that reads docs: what earlier stages stored inside such a block goes, but for tables that docs reads."""
     spark = docs.sparkSession
-    needed = [f.replace("file:///", "file:/") for f in docs.inputFiles()]
-    paths = _written.get(spark.sparkContext.applicationId, [])
-    for path in list(paths):
-        bare = path.replace("file:///", "file:/")
-        if not any(bare in f for f in needed):
+    app = spark.sparkContext.applicationId
+    written, staged = _written.setdefault(app, []), _staged.setdefault(app, [])
+    needed = [re.sub("^file:/+", "/", f) for f in docs.inputFiles()]
+    for path in [p for p in staged if not any(f.startswith(re.sub("^file:/+", "/", p)) for f in needed)]:
+        if path in written:
             _delete(spark, path)
-            paths.remove(path)
+            written.remove(path)
+        staged.remove(path)
     release_shuffles(spark)
+    before = set(written)
+    try:
+        yield
+    finally:
+        staged += [p for p in written if p not in before]
 
 
 def largest(frame: DataFrame, column: str, most: int) -> DataFrame:
