@@ -34,15 +34,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.storage import largest, stored
-from llm.text_arrays import U64, Texts, Words, mix, release
+from llm.repeats import BLOB, blob_batch, blob_rows, joined, shard_of, spread
+from llm.storage import discard, largest, stored
+from llm.text_arrays import U64, Texts, Words, mix, pack, release, unpack
 
 #: Words that are exchanged one at a time, before the sweeps over all.
 EXCHANGE_WORDS = 1_024
 #: Least occurrences in training of a word that is exchanged.
 EXCHANGE_COUNT = 3
 SWEEPS = 2
-SWEEP_TOKENS = 1_000_000
+SWEEP_TOKENS = 2_000_000
+#: Text that a shard of the words stands for in a sweep.
+SHARD_BYTES = 8 << 20
 #: Counts whose gains are held ready in a sweep.
 SMALL = 32
 CLASSES = 96
@@ -56,6 +59,8 @@ END = U64(0x5851F42D4C957F2D)
 END_CLASS = CLASSES + FORMS
 #: Codes of a word's neighbours: their class before it, then after it; the word itself after and before it.
 AFTER, SELF_AFTER, SELF_BEFORE, CODES = END_CLASS + 1, 2 * END_CLASS + 2, 2 * END_CLASS + 3, 512
+#: In sweeps a word is its hash without the bits that hold a code; two words that agree in the rest would share a class.
+SHORT = ~U64(CODES - 1)
 
 
 def exchange(counts: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -167,17 +172,30 @@ def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
 def _word_counts(training: DataFrame) -> DataFrame:
     """key, form and n of every distinct token."""
 
+    def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        keys, forms, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], forms[order][first], np.add.reduceat(n[order], first) if len(first) else n
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, forms = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            parts, size = [], 0
             for _, part in Texts.of(batch.column(0)).chunks():
                 tokens = Tokens(part)
-                form = np.full(len(tokens.key), END_CLASS, np.int64)
+                keys, first, n = np.unique(tokens.key, return_index=True, return_counts=True)
+                form = np.full(len(tokens.key), END_CLASS, np.int32)
                 form[tokens.is_word] = _forms(tokens.words)
-                keys.append(tokens.key)
-                forms.append(form)
-            keys, first, n = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-            yield _batch("key form n", keys.view(np.int64), np.concatenate(forms)[first].astype(np.int32), n)
+                parts.append((keys, form[first], n))
+                size += len(keys)
+                if size > SWEEP_TOKENS:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+            if parts:
+                keys, forms, n = merged(parts)
+                yield _batch("key form n", keys.view(np.int64), forms, n)
+        release()
 
     return training.select("text").mapInArrow(count, "key long, form int, n long").groupBy("key").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
 
@@ -205,27 +223,22 @@ def _bigrams(training: DataFrame, keys: np.ndarray) -> np.ndarray:
     return out.reshape(m, m)
 
 
-def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray) -> DataFrame:
-    """(key, codes): the coded neighbours of each word outside the core, with their counts, from all training text.
+def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray, shards: int) -> DataFrame:
+    """(shard, body): the coded neighbours of the words outside the core, with their counts, packed by shard of the words.
 
-    The rows of keys below AFTER are not words: they hold the classes that follow each class.
+    The rows of shard -1 are not words: they hold the counts of class pairs, by tasks.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, total = [], 0, np.zeros(AFTER * AFTER, np.int64)
 
         def flush() -> pa.RecordBatch:
-            keys, codes = (np.concatenate([np.zeros(0, t), *(h[i] for h in held)]) for i, t in enumerate((U64, np.int64)))
-            order = np.lexsort((codes, keys))
-            keys, codes = keys[order], codes[order]
-            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (codes[1:] != codes[:-1])])) if len(keys) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([new, [len(keys)]]))
-            return listed(keys[new], codes[new] + CODES * n)
-
-        def listed(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(keys)]]).astype(np.int32)), pa.array(values))
-            return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), lists], ["key", "codes"])
+            cells = np.sort(np.concatenate([np.zeros(0, U64), *held]))
+            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([first, [len(cells)]])).astype(np.uint32)
+            cells = cells[first]
+            held.clear()
+            return blob_batch(list(blob_rows(shard_of(cells, shards), shards, cells, n)))
 
         for batch in batches:
             for _, part in Texts.of(batch.column(0)).chunks():
@@ -238,64 +251,84 @@ def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray) -> Da
                 same = np.concatenate([[False], key[1:] == key[:-1], [False]])
                 before = np.where(same[:-1], SELF_BEFORE, before)
                 after = np.where(same[1:], SELF_AFTER, after + AFTER)
-                at = np.flatnonzero(tokens.is_word)
+                short = key & SHORT
+                at = tokens.is_word
                 if len(core):
-                    at = at[core[np.minimum(np.searchsorted(core, key[at]), len(core) - 1)] != key[at]]
-                held.append((np.concatenate([key[at], key[at]]), np.concatenate([before[at], after[at]])))
-                size += len(at)
+                    at = at & (core[np.minimum(np.searchsorted(core, short), len(core) - 1)] != short)
+                held.append(short[at] | before[at].astype(U64))
+                held.append(short[at] | after[at].astype(U64))
+                size += int(at.sum())
                 if size > SWEEP_TOKENS:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         yield flush()
-        held.clear()
         release()
         cells = np.flatnonzero(total)
-        yield listed((cells // AFTER).astype(U64), cells % AFTER + CODES * total[cells])
+        yield blob_batch([(-1, pack(cells, total[cells]))])
+
+    return stored(training.select("text").mapInArrow(count, BLOB), "neighbours")
+
 
-    rows = training.select("text").mapInArrow(count, "key long, codes array<long>")
-    return stored(rows.groupBy("key").agg(F.flatten(F.collect_list("codes")).alias("codes")), "neighbours")
+def _class_pairs(neighbours: DataFrame) -> np.ndarray:
+    """Counts of class pairs of all tasks."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                yield _batch("cell n", *unpack(body, "i8", "i8"))
 
-def _coded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """row, code and n of each entry of a column of coded lists."""
-    values = column.flatten().to_numpy()
-    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-    return row, values % CODES, values // CODES
+    out = np.zeros(AFTER * AFTER)
+    sums = neighbours.where("shard = -1").select("body").mapInArrow(rows, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # AFTER * AFTER rows at most
+    out[sums.cell.to_numpy(np.int64)] = sums.n.to_numpy(np.int64)
+    return out.reshape(AFTER, AFTER)
 
 
-def placed_words(neighbours: DataFrame, model: WordClasses, used: int) -> DataFrame:
-    """(key, class, n) of the words with EXCHANGE_COUNT occurrences: of the first `used` classes, the one of most gain."""
-    table = np.zeros((AFTER, AFTER))
-    for row in neighbours.where(F.col("key").between(0, END_CLASS)).collect():  # a row a class
-        codes = np.array(row.codes, np.int64)
-        np.add.at(table[row.key], codes % CODES, codes // CODES)
+def placed_words(neighbours: DataFrame, model: WordClasses, used: int, shards: int) -> DataFrame:
+    """(short, class, n) of the words with EXCHANGE_COUNT occurrences: of the first `used` classes, the one of most gain."""
+    table = _class_pairs(neighbours)
     xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     after, before, corner = table.sum(1)[:used], table.sum(0)[:used], np.diag(table)[:used]
+    model_short = model.keys & SHORT
 
     def gained(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
         return xlogx(cells + n) - xlogx(cells)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(packed: pa.Table) -> pa.Table:
         # right and left neighbours: for each of their classes a row with the cells of all classes, and what these gain by 1, 2, ...
         sides = [(cells, np.stack([gained(cells, n) for n in range(1, SMALL + 1)])) for cells in (table[:used].T, table[:, :used])]
-        for whole in batches:
-            ends = whole.column(1).offsets.to_numpy()[1:] - whole.column(1).offsets.to_numpy()[0]
-            at = 0
-            while at < whole.num_rows:  # some thousand neighbours at a time
-                to = min(max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 8192, "right"))), at + 512)
-                yield place_some(whole.slice(at, to - at), sides)
-                at = to
+        cells, n = joined(packed, "u8", "u4")
+        order = np.argsort(cells)
+        cells, n = cells[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        cells, n = cells[first], np.add.reduceat(n, first) if len(first) else n
+        short, code = cells & SHORT, (cells & ~SHORT).astype(np.int64)
+        words = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        # words seen too rarely have a class by their form
+        left = (code < AFTER) | (code == SELF_BEFORE)
+        times = np.add.reduceat(np.where(left, n, 0), words) if len(words) else np.zeros(0, np.int64)
+        ends = np.concatenate([words[1:], [len(cells)]]).astype(np.int64)
+        enough = times >= EXCHANGE_COUNT
+        words, ends, times = words[enough], ends[enough], times[enough]
+        load, out, at = np.cumsum(ends - words), [], 0
+        while at < len(words):  # some thousand neighbours at a time
+            to = min(max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + 8192, "right"))), at + 512)
+            size = (ends - words)[at:to]
+            row = np.repeat(np.arange(to - at), size)
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(words[at:to], size)
+            out.append(best_classes(short[words[at:to]], row, code[entry], n[entry], sides))
+            at = to
         release()
+        best = np.concatenate([np.zeros(0, np.int32), *out])
+        return pa.Table.from_batches([_batch("short class n", short[words].view(np.int64), best.astype(np.int32), times)])
 
-    def place_some(batch: pa.RecordBatch, sides: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        m, keys = batch.num_rows, batch.column(0).to_numpy().view(U64)
-        row, code, n = _coded(batch.column(1))
+    def best_classes(keys: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        m = len(keys)
         dense = np.bincount(row * CODES + code, weights=n, minlength=m * CODES).reshape(m, CODES)
         left, right, self_n = dense[:, :AFTER], dense[:, AFTER:SELF_AFTER], dense[:, SELF_AFTER]
         now = np.full(m, END_CLASS)
-        if len(model.keys):
-            found = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-            now = np.where(model.keys[found] == keys, model.classes[found], END_CLASS)
+        if len(model_short):
+            found = np.minimum(np.searchsorted(model_short, keys), len(model_short) - 1)
+            now = np.where(model_short[found] == keys, model.classes[found], END_CLASS)
         inside = np.flatnonzero(now < used)  # these are in the cells of their own class already
         gain = np.zeros((m, used))
         own = np.zeros(m)
@@ -319,12 +352,9 @@ def placed_words(neighbours: DataFrame, model: WordClasses, used: int) -> DataFr
         lost = lambda cells, n: xlogx(cells) - xlogx(np.maximum(cells - n, 0))
         corners = [lost(corner[at], x[inside]) for x in (r[np.arange(m), np.minimum(now, used - 1)], l[np.arange(m), np.minimum(now, used - 1)], (r + l)[np.arange(m), np.minimum(now, used - 1)] + self_n)]
         gain[inside, at] = own[inside] + corners[2] - corners[0] - corners[1] - lost(after[at], size[0][inside]) - lost(before[at], size[1][inside])
-        times = (left.sum(1) + dense[:, SELF_BEFORE]).astype(np.int64)
-        enough = times >= EXCHANGE_COUNT
-        return _batch("key class n", keys[enough].view(np.int64), np.argmax(gain, axis=1)[enough].astype(np.int32), times[enough])
+        return np.argmax(gain, axis=1)
 
-    words = neighbours.where(~F.col("key").between(0, END_CLASS))
-    return stored(words.mapInArrow(place, "key long, class int, n long"), "classes")
+    return stored(spread(neighbours.where("shard >= 0"), shards).applyInArrow(place, "short long, class int, n long"), "classes")
 
 
 def _transitions(sequences: DataFrame) -> np.ndarray:
@@ -362,19 +392,29 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     core = exchange(_bigrams(training, common), used) if len(common) else np.zeros(0, np.int64)
     head_class[np.searchsorted(head_key, common)] = core
     model, placed = WordClasses(head_key, head_class), None
+    head_short = (head_key & SHORT).view(np.int64)
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = int(max(64, -(-size // SHARD_BYTES)))
     for _ in range(SWEEPS if len(common) else 0):
-        placed = placed_words(_neighbours(training, model, common), model, used)
+        neighbours, last = _neighbours(training, model, np.unique(common & SHORT), shards), placed
+        placed = placed_words(neighbours, model, used, shards)
+        discard(neighbours, *([last] if last is not None else []))
         moved = placed.where(F.col("n") >= int(head_n.min())).toPandas()  # in the head, all of them
         head_class = head_class.copy()
-        at = np.minimum(np.searchsorted(head_key, moved["key"].to_numpy(np.int64).view(U64)), len(head_key) - 1)
-        known = head_key[at] == moved["key"].to_numpy(np.int64).view(U64)
-        head_class[at[known]] = moved["class"].to_numpy(np.int64)[known]
+        order = np.argsort(moved["short"].to_numpy(np.int64).view(U64))
+        moved_short, moved_class = moved["short"].to_numpy(np.int64).view(U64)[order], moved["class"].to_numpy(np.int64)[order]
+        if len(moved_short):
+            at = np.minimum(np.searchsorted(moved_short, head_short.view(U64)), len(moved_short) - 1)
+            known = moved_short[at] == head_short.view(U64)
+            head_class[known] = moved_class[at[known]]
         model = WordClasses(head_key, head_class)
     if placed is None:
         lexicon = counts.select("key", "n", F.col("form").alias("class"))
     else:
-        first = rows.sparkSession.createDataFrame([*zip(common.view(np.int64).tolist(), core.tolist(), strict=True)], "key long, class int")
-        lexicon = stored(counts.join(placed.select("key", "class").unionByName(first), "key", "left").select("key", "n", F.coalesce("class", "form").alias("class")), "lexicon")
+        first, at = np.unique(common & SHORT, return_index=True)
+        core_rows = rows.sparkSession.createDataFrame([*zip(first.view(np.int64).tolist(), core[at].tolist(), strict=True)], "short long, class int")
+        short = F.col("key").bitwiseAND(F.lit(-CODES).cast("long"))
+        lexicon = stored(counts.withColumn("short", short).join(placed.select("short", "class").unionByName(core_rows), "short", "left").select("key", "n", F.coalesce("class", "form").alias("class")), "lexicon")
     # sizes of the classes: tokens, and distinct words
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("words")).first()
     distinct = np.zeros(END_CLASS + 1)
@@ -416,6 +456,7 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                     pa.concat_arrays([pa.array(blobs, pa.binary()), pa.nulls(m, pa.binary())]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "key", "places", "doc_id", "info", "classes"])
+        release()
 
     found = rows.select("text", F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row")).mapInArrow(read, "row long, key long, places array<int>, doc_id long, info array<double>, classes binary")
     joined = found.join(lexicon, (found["key"] == lexicon["key"]) & F.col("places").isNotNull(), "left").withColumn("times", F.size("places"))
@@ -438,8 +479,10 @@ def score_texts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
             data[texts.offsets[doc] + lists.flatten().to_numpy()] = np.repeat(words.field(0).to_numpy(), size)
             classes = [data[a:b].tobytes() for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(classes, pa.binary())], ["doc_id", "info", "more", "logs", "classes"])
+        release()
 
     sequences = stored(own.select("doc_id", "info", "more", "logs", "classes", "others").mapInArrow(complete, "doc_id long, info array<double>, more long, logs double, classes binary"), "sequences")
+    discard(counts, *([placed, lexicon] if placed is not None else []))
     pairs = _transitions(sequences.where(~held_out(F.col("doc_id"))))
     tokens = pairs.sum(0).astype(float)
     emission = np.log10(tokens + 0.5 * (distinct + 1))  # denominator of P(word | class)
