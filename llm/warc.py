@@ -6,31 +6,39 @@ transfer framing; a block longer than segment_bytes goes out as a first record a
 records.  Spark's text sink writes the archives: a record is one row whose last line feed is the
 sink's row separator, so the files are plain WARC (gzip by option) and are committed like any output.
 
-Reading.  Each file, of bounded size, is parsed by declared lengths, never by looking for markers.
-Continuation records are grouped by their origin identifier, put in order by segment number and
-joined; the total length must match, chunked framing is decoded, and the payload's digest is verified.
-Records in one piece skip the grouping.
+Reading.  Each file, plain or gzip of any number of members, is parsed by declared lengths, never by
+looking for markers.  Continuation records are grouped by their origin identifier, put in order by
+segment number and joined; the total length must match, chunked framing is decoded, and the payload's
+digest is verified.  Records in one piece skip the grouping.  Archives of others are read too: records
+of other types than response, revisit and their continuations are left out, ids that are not ours are
+null, a revisit that doesn't say its payload's length has none, and a digest of another kind than SHA-1
+is not verified (null).
 
 Defined results: a null payload counts as empty; a null id is written as such and read as null, and
 counts as larger than any other; repeated rows (equal id and payload) are all responses, or all
-revisits; an empty table gives an empty table.
+revisits; an empty table gives an empty table; other columns than the three that are named are left out.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.storage import fresh_path
+from llm.columns import numbered, place
+from llm.storage import discard, fresh_path, stored
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
 FILE_BYTES = 16 << 20
+#: A payload that more than one in so many pages hold is looked up in a table of at most so many rows.
+HOT_SHARE = 1_000
 PAGE = "page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
 RECORD = "origin string, segment int, total long, head string, block binary"
 
@@ -88,20 +96,30 @@ def _clean(value: object) -> object:
 
 def write_archives(pages: DataFrame, path: str, payload: str = "html", page_id: str = "page_id", url: str = "url", min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, compress: bool = True) -> None:
     """Write one record (and its continuations) per row to WARC files below path."""
-    body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), (F.col(url) if url in pages.columns else F.lit(None)).cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("key"), F.monotonically_increasing_id().alias("n"))
-    long_enough = F.octet_length("payload") >= min_revisit_bytes
-    firsts = rows.where(long_enough).groupBy("key").agg(F.min("page_id").alias("first_id"))
-    rows = rows.join(firsts, "key", "left").withColumn("first_id", F.when(long_enough, F.col("first_id")))
+    here = numbered(pages)
+    link = F.col(f"c{place(pages, url)}") if url.lower() in [c.lower() for c in pages.columns] else F.lit(None)
+    body = F.coalesce(F.col(f"c{place(pages, payload)}").cast("string"), F.lit(""))
+    rows = here.select(F.col(f"c{place(pages, page_id)}").cast("long").alias("page_id"), link.cast("string").alias("url"), body.alias("payload"), F.sha1(body).alias("key"), F.monotonically_increasing_id().alias("n"))
+    rows = whole = stored(rows, "pages")  # so that a row has one number, whoever reads it
+    # whom the copies refer to: ids and digests only, of payloads that occur twice
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("first")
+    copies = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("key").agg(first, F.count("*").alias("copies")).where(F.col("copies") > 1)
+    copies = stored(copies.select("key", F.col("first.page_id").alias("first_id"), F.col("first.n").alias("first_n"), "copies"), "copies")
+    # HOT_SHARE rows at most are broadcast; their pages then need no partner in the join by key, so they are dealt by number
+    hot = F.col("copies") * HOT_SHARE > whole.count()
+    known = copies.where(hot).select("key", F.col("first_id").alias("hot_id"), F.col("first_n").alias("hot_n"))
+    rows = rows.join(F.broadcast(known), "key", "left").withColumn("key", F.when(F.col("hot_n").isNotNull(), F.col("n").cast("string")).otherwise(F.col("key")))
+    rows = rows.join(copies.where(~hot).select("key", "first_id", "first_n"), "key", "left")
+    rows = rows.withColumns({"first_id": F.coalesce("hot_id", "first_id"), "first_n": F.coalesce("hot_n", "first_n")})
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page, link, text, first, n in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id", "n")), strict=True):
+            for page, link, text, first, first_n, n in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "first_id", "first_n", "n")), strict=True):
                 data, me = text.encode("utf-8"), f"urn:page:{page}:{n}"
                 common = [("WARC-Target-URI", _clean(link)), ("X-Page-Id", page), ("WARC-Payload-Digest", f"sha1:{digest(data)}"), ("X-Payload-Length", len(data)), ("Content-Type", "application/http;msgtype=response")]
                 if first is not None and first != page:
-                    out.append(_record("revisit", me, [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>")], b"HTTP/1.1 200 OK\r\n\r\n"))
+                    out.append(_record("revisit", me, [*common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}:{first_n}>")], b"HTTP/1.1 200 OK\r\n\r\n"))
                 else:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(data, chunk_bytes)
                     parts = list(_pieces(block, segment_bytes))
@@ -115,10 +133,11 @@ def write_archives(pages: DataFrame, path: str, payload: str = "html", page_id:
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    mean = pages.select(F.avg(F.octet_length(payload)).alias("m")).first().m or 1
+    mean = whole.select(F.avg(F.octet_length("payload")).alias("m")).first().m or 1
     options = {"compression": "gzip"} if compress else {}
-    records = rows.select("page_id", "url", "payload", "first_id", "n").mapInArrow(render, "value string")
+    records = rows.select("page_id", "url", "payload", "first_id", "first_n", "n").mapInArrow(render, "value string")
     records.write.options(**options).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
+    discard(whole, copies)
 
 
 def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -143,16 +162,25 @@ def _parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 KEPT = ("warc-type", "x-page-id", "warc-payload-digest", "x-payload-length", "warc-refers-to")
 
 
+#: Ids as write_archives gives them: the page, then a number of its own.
+OWN_ID = re.compile(r"<urn:page:(-?\d+)(?::\d+)*>")
+
+
 def _page(head: str, block: bytes) -> tuple:
     kind, page, said, size, refers = head.split("\n")
-    said = said.removeprefix("sha1:")
-    page_id = int(page) if page not in ("", "None") else None
+    label, _, said = said.rpartition(":")
+    said = said.upper() if label.lower() in ("", "sha1") and said else None
+    page_id = int(page) if page.removeprefix("-").isdigit() else None
     if kind == "revisit":
-        return page_id, None, int(size), said, kind, int(refers.strip("<>").rsplit(":", 1)[1]), None
+        origin = OWN_ID.fullmatch(refers)
+        return page_id, None, int(size) if size.isdigit() else None, said, kind, int(origin[1]) if origin else None, None
     top, _, body = block.partition(b"\r\n\r\n")
     payload = unchunked(body) if b"transfer-encoding: chunked" in top.lower() else body
     own = digest(payload)
-    return page_id, payload, len(payload), own, kind, None, own == said
+    return page_id, payload, len(payload), own, kind, None, own == said if said else None
+
+
+READ = ("response", "revisit", "continuation")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -163,8 +191,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
@@ -172,6 +198,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 out: list[tuple] = []
                 held = 0
                 for head, block in _parse(raw):
+                    if head["warc-type"] not in READ and "warc-segment-number" not in head:
+                        continue
                     origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
                     kept = "\n".join(head.get(k, "") for k in KEPT)
                     out.append((origin, int(head.get("warc-segment-number", 0)), int(head.get("warc-segment-total-length", -1)), kept, block))
@@ -191,13 +219,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             rows = [_page(h, b) for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"])
 
-    # a file holds a bounded number of bytes, and a task takes files by size
+    # a task takes files by size
     records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORD)
     whole = records.where(F.col("segment") == 0).select("head", "block")
     parts = records.where(F.col("segment") > 0).groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("segment", "head", "block"))).alias("parts"), F.max("total").alias("total"))
     joined = F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.block)")
     complete = (F.element_at("parts", -1)["segment"] == F.size("parts")) & (F.octet_length("block") == F.col("total"))
     parts = parts.withColumn("block", joined).withColumn("head", F.element_at("parts", 1)["head"])
+    parts = parts.where(F.substring_index("head", "\n", 1).isin(*READ))  # the segments of other records go together
     parts = parts.select("head", F.when(complete, F.col("block")).otherwise(F.raise_error(F.lit("segments are missing"))).alias("block"))
     return whole.unionByName(parts).mapInArrow(decode, PAGE)
 

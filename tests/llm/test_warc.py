@@ -1,11 +1,12 @@
 import base64
 import gzip
 import hashlib
+import re
 
 import pytest
 
 from llm.storage import fresh_path
-from llm.warc import _parse, archive_round_trip, chunked, read_archives, unchunked, write_archives
+from llm.warc import _parse, archive_round_trip, chunked, digest, read_archives, unchunked, write_archives
 
 
 def test_chunks():
@@ -59,3 +60,35 @@ def test_a_gzip_member_per_record(spark, tmp_path):
 
 def test_empty(spark):
     assert archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def _foreign(kind, record_id, block, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A member per record, records of other types, a revisit without a length, segments of another type."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    records = [
+        _foreign("warcinfo", "urn:uuid:0", b"software: x"),
+        _foreign("request", "urn:uuid:1", b"GET / HTTP/1.1\r\n\r\n"),
+        _foreign("response", "urn:uuid:2", http, WARC_Payload_Digest=f"sha1:{digest(b'hello')}"),
+        _foreign("response", "urn:uuid:3", http, WARC_Payload_Digest="sha256:abc"),
+        _foreign("revisit", "urn:uuid:4", b"", WARC_Payload_Digest=f"sha1:{digest(b'hello')}", WARC_Refers_To="<urn:uuid:2>"),
+        _foreign("resource", "urn:uuid:5", b"ab", WARC_Segment_Number=1),
+        _foreign("continuation", "urn:uuid:6", b"cd", WARC_Segment_Number=2, WARC_Segment_Origin_ID="<urn:uuid:5>", WARC_Segment_Total_Length=4),
+    ]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = read_archives(spark, str(tmp_path)).collect()
+    assert sorted(((r.record_type, r.page_id, r.payload_bytes, r.refers_to, r.verified) for r in got), key=str) == sorted([("response", None, 5, None, True), ("response", None, 5, None, None), ("revisit", None, None, None, None)], key=str)
+
+
+def test_references_name_records(spark, tmp_path):
+    """Each revisit refers to the record of a response, with hot payloads and others."""
+    rows = [(i, f"u{i}", "same" if i % 3 else f"pair {i // 6}") for i in range(60)]
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), str(tmp_path / "w"), compress=False)
+    text = b"".join(p.read_bytes() for p in (tmp_path / "w").glob("part-*"))
+    ids = {kind: re.findall(rb"WARC-Type: " + kind + rb"\r\nWARC-Record-ID: (\S+)", text) for kind in (b"response", b"revisit")}
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", text)
+    assert len(refers) == len(ids[b"revisit"]) == 60 - 11 and set(refers) <= set(ids[b"response"])
