@@ -11,6 +11,8 @@ FLOAT = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 BOOL = r"^(?i:true|false)$"
 TIME = r"^[0-9TZ:.+-]{8,}$"
 HEX = r"^([0-9a-fA-F]{2}){8,}$"
+# What every text of a class other than string consists of.
+ANY = r"^(?:[0-9a-fA-FTZ:.+-]+|(?i:true|false))$"
 CLASSES = ("int", "float", "bool", "time", "hex", "string")
 ISO_TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:T([0-9]{2}:[0-9]{2}:[0-9]{2})(?:[.]([0-9]{1,9}))?)?$"
 
@@ -22,15 +24,23 @@ def is_int(text: Column) -> Column:
     return text.rlike(INT) & fits
 
 
-def text_class(text: Column) -> Column:
-    """The first class whose pattern text fits; NULL for NULL and for empty text."""
+def class_code(text: Column) -> Column:
+    """The number in CLASSES of the first class whose pattern text fits; NULL for NULL and for empty text.
+
+    One pattern settles text that is none of the others, and one settles integers.
+    """
     time_like = text.rlike(TIME) & (text.contains("-") | text.contains("T"))
     return (
-        F.when(text.isNull() | (text == ""), F.lit(None).cast("string"))
-        .when(is_int(text), "int").when(text.rlike(FLOAT), "float").when(text.rlike(BOOL), "bool").when(time_like, "time").when(text.rlike(HEX), "hex").otherwise("string")
+        F.when(text.isNull() | (text == ""), F.lit(None).cast("int"))
+        .when(~text.rlike(ANY), F.lit(5)).when(is_int(text), F.lit(0)).when(text.rlike(FLOAT), F.lit(1)).when(text.rlike(BOOL), F.lit(2)).when(time_like, F.lit(3)).when(text.rlike(HEX), F.lit(4)).otherwise(F.lit(5))
     )
 
 
+def text_class(text: Column) -> Column:
+    """The first class whose pattern text fits; NULL for NULL and for empty text."""
+    return F.get(F.array(*map(F.lit, CLASSES)), class_code(text))
+
+
 def time_ns(text: Column) -> Column:
     """Nanoseconds since 1970 of YYYY-MM-DD[THH:MM:SS[.fraction]] or of a plain integer; NULL for other text."""
     day, clock, fraction = (F.regexp_extract(text, ISO_TIME, i) for i in (1, 2, 3))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerframe.functions.scalars import CLASSES, coerce, text_class
+from ledgerframe.functions.scalars import CLASSES, class_code, coerce
 
 SIGILS = {"int": "=", "float": "~", "bool": "?", "time": "@", "hex": "<", "string": '"', "null": "^"}
 
@@ -20,26 +18,22 @@ def infer_types(frame: DataFrame, *columns: str, order: str | None = None, polic
     is conflict), or first (the class of the first row by `order`).
     """
     columns = columns or tuple(c for c, kind in frame.dtypes if kind == "string" and c != order)
-    marked = frame.select(*(text_class(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)), *([F.col(order).alias("__order")] if order else []))
+    marked = frame.select(*(class_code(F.col(c)).alias(f"k{i}") for i, c in enumerate(columns)), *([F.col(order).alias("__order")] if order else []))
     aggregates = [F.count("*").alias("total")]
     for i in range(len(columns)):
-        aggregates += [F.count(f"k{i}").alias(f"p{i}"), F.collect_set(f"k{i}").alias(f"c{i}")]  # six classes at most
+        aggregates += [F.count(f"k{i}").alias(f"p{i}"), F.coalesce(F.bit_or(F.expr(f"shiftleft(1, k{i})")), F.lit(0)).alias(f"c{i}")]  # a bit for each class met
         if policy == "first":
             aggregates.append(F.min_by(f"k{i}", F.when(F.col(f"k{i}").isNotNull(), F.col("__order"))).alias(f"f{i}"))
     counts = marked.agg(*aggregates)
-    entries = []
+    entries, every = [], F.array(*map(F.lit, CLASSES))
     for i, c in enumerate(columns):
-        first = F.col(f"f{i}") if policy == "first" else F.lit({"error": "conflict"}.get(policy, "string"))
-        kind = F.when(F.size(f"c{i}") == 0, "null").when(F.size(f"c{i}") == 1, F.element_at(f"c{i}", 1)).otherwise(first)
-        names = F.array_join(F.filter(F.array(*map(F.lit, CLASSES)), _held_in(f"c{i}")), ",")
-        entries.append(F.struct(F.lit(c).alias("field"), kind.alias("kind"), names.alias("classes"), F.col(f"p{i}").alias("present")))
+        held = F.array_compact(F.array(*(F.when(F.col(f"c{i}").bitwiseAND(1 << k) != 0, name) for k, name in enumerate(CLASSES))))
+        first = F.get(every, F.col(f"f{i}")) if policy == "first" else F.lit({"error": "conflict"}.get(policy, "string"))
+        kind = F.when(F.size(held) == 0, "null").when(F.size(held) == 1, F.get(held, F.lit(0))).otherwise(first)
+        entries.append(F.struct(F.lit(c).alias("field"), kind.alias("kind"), F.array_join(held, ",").alias("classes"), F.col(f"p{i}").alias("present")))
     return counts.select("total", F.inline(F.array(*entries))).select("field", "kind", "classes", "present", "total", (F.col("present") < F.col("total")).alias("optional"))
 
 
-def _held_in(classes: str) -> Callable[[Column], Column]:
-    return lambda k: F.array_contains(F.col(classes), k)
-
-
 def typed(frame: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Text columns as values of their kinds; what doesn't parse is absent."""
     return frame.select(*(coerce(F.col(f"`{c}`"), kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in frame.columns))

@@ -15,6 +15,13 @@ def page_table(frame: DataFrame, index: str, size: int) -> DataFrame:
     return frame.groupBy(number.alias("page")).agg(F.min(index).alias("start_index"), F.max(index).alias("end_index"), F.count("*").alias("n_rows"))
 
 
+def page_of(frame: DataFrame, index: str, size: int, wanted: int) -> DataFrame:
+    """The page that holds a record, from that page's records alone."""
+    first = wanted // size * size
+    here = frame.where(F.col(index).between(first, first + size - 1))
+    return locate(page_table(here, index, size), wanted)
+
+
 def locate(pages: DataFrame, index: int) -> DataFrame:
     """The page that holds a record."""
     return pages.where(F.lit(index).between(F.col("start_index"), F.col("end_index")))

@@ -12,6 +12,8 @@ from ledgerframe.functions.scalars import contains_fold
 
 INDEX = "_record_index"
 NULLS = "_null_fields"
+#: Records up to this index are found without an index of the whole table.
+TOP_ROWS = 1 << 16
 
 
 def with_index(frame: DataFrame, *keys: str) -> DataFrame:
@@ -28,6 +30,19 @@ def with_index(frame: DataFrame, *keys: str) -> DataFrame:
     return joined.withColumn(INDEX, F.col("__base") + F.col("__n") - F.col("__first")).drop("__part", "__n", "__base", "__first", "__rows")
 
 
+def records_at(frame: DataFrame, wanted: list[int], *keys: str) -> DataFrame:
+    """The records at the wanted indexes, in order of the keys, with their index; a negative index is an error.
+
+    Where all lie among the first TOP_ROWS records, each task sends its first ones only and nothing is
+    sorted whole; beyond that all records are indexed.
+    """
+    if min(wanted, default=0) < 0:
+        raise OutOfBounds(f"record index {min(wanted)} is negative")
+    last = max(wanted, default=-1)
+    rows = numbered(frame.orderBy(*keys).limit(last + 1), *keys) if last < TOP_ROWS else with_index(frame, *keys)
+    return rows.where(F.col(INDEX).isin(wanted))
+
+
 def numbered(frame: DataFrame, *keys: str) -> DataFrame:
     """frame with its record index by a window: simple, for tables that one task can sort."""
     return frame.withColumn(INDEX, F.row_number().over(Window.orderBy(*keys)).cast("long") - 1)
@@ -74,7 +89,7 @@ def head(frame: DataFrame, n: int | None) -> DataFrame:
     return frame if n is None or n < 0 else frame.where(F.col(INDEX) < n)
 
 
-def export_limit(frame: DataFrame, n: int = 100, *order: str) -> DataFrame:
+def export_limit(frame: DataFrame, n: int = 100, *order: str | Column) -> DataFrame:
     """n rows in the given order; -1 means all, 0 none."""
     rows = frame.orderBy(*order) if order else frame
     return rows if n < 0 else rows.limit(n)

@@ -67,11 +67,17 @@ def is_uniform(frame: DataFrame) -> DataFrame:
 
 
 def promotion_scan(frame: DataFrame, *columns: str, min_rows: int = 32, max_ratio: float = 0.5) -> DataFrame:
-    """(field, rows, n_distinct, promote): whether a text column is worth a dictionary."""
-    counts = frame.agg(*(x for i, c in enumerate(columns) for x in (F.count(c).alias(f"n{i}"), F.count_distinct(c).alias(f"d{i}"))))
-    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"n{i}").alias("rows"), F.col(f"d{i}").alias("n_distinct")) for i, c in enumerate(columns)))
+    """(field, rows, n_distinct, promote): whether a text column is worth a dictionary.
+
+    Each column is counted by value on its own, so rows are not copied for each column that is counted.
+    """
+    out = None
+    for c in columns:
+        values = frame.select(F.col(c).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+        counts = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("n_distinct")).select(F.lit(c).alias("field"), "rows", "n_distinct")
+        out = counts if out is None else out.unionByName(counts)
     promote = (F.col("rows") >= min_rows) & (F.col("n_distinct") <= max_ratio * F.col("rows"))
-    return counts.select(F.inline(rows)).select("*", promote.alias("promote"))
+    return out.select("*", promote.alias("promote"))
 
 
 def width_scan(frame: DataFrame, *columns: str) -> DataFrame:

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ledgerframe.functions import scalars as X
 from ledgerframe.functions.predicates import Not, eq, first_match, gt, lt, truth, where
-from ledgerframe.operators import inference, ordinals, reducers
+from ledgerframe.operators import inference, ordinals, reducers, spans
 from ledgerframe.operators import records as R
 from ledgerframe.operators import registry
 from ledgerframe.plans import format_queries
+from ledgerframe.sources import convert
+from ledgerframe.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,14 +73,14 @@ def project_columns(lineitem):
 
 @query("orders", "SELECT o_orderkey, o_custkey, o_totalprice, i AS _record_index FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i = 42")
 def point_lookup(orders):
-    return R.record(R.with_index(orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey"), 42)
+    return R.records_at(orders.select("o_orderkey", "o_custkey", "o_totalprice"), [42], "o_orderkey")
 
 
 @query("lineitem", "SELECT l_orderkey, l_partkey, l_quantity, l_tax, l_returnflag FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem) WHERE i IN (7, 77, 777, 1777, 2777)")
 def selective_read(lineitem):
     keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = R.with_index(lineitem.select(*keys, "l_quantity", "l_tax", "l_returnflag"), *keys)
-    return rows.where(F.col(R.INDEX).isin(7, 77, 777, 1777, 2777)).select("l_orderkey", "l_partkey", "l_quantity", "l_tax", "l_returnflag")
+    rows = R.records_at(lineitem.select(*keys, "l_quantity", "l_tax", "l_returnflag"), [7, 77, 777, 1777, 2777], *keys)
+    return rows.select("l_orderkey", "l_partkey", "l_quantity", "l_tax", "l_returnflag")
 
 
 @query("events", "SELECT event_id, user_id, value FROM events WHERE event_id % 20 = 0 AND event_id < 20 * 500")
@@ -93,7 +95,8 @@ def multi_field_scan(customer):
 
 @query("events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def nested_path(events):
-    return events.select("event_id", F.from_json("props", "k long").alias("props")).select("event_id", F.col("props.k").alias("k"))
+    rows = events.select("event_id", F.from_json("props", "k long").alias("props"))
+    return rows.select("event_id", R.get(rows, "props.k", "i64").alias("k"))
 
 
 @query("nation", "SELECT n_nationkey, NULL::VARCHAR AS name_as_number, NULL::VARCHAR AS missing FROM nation")
@@ -175,24 +178,29 @@ def search_within(documents):
     return R.search_within(R.search_text(documents, "text", "TION"), first, "doc_id").select("doc_id")
 
 
+def _turns(conversations: DataFrame) -> tuple[DataFrame, int]:
+    """Turns as spans of their conversation, and a conversation that exists."""
+    spans = conversations.withColumns({"trace_id_hi": F.lit(0).cast("long"), "trace_id_lo": F.col("conv_id").cast("long"), "span_id": F.col("turn").cast("long"), "start_time_ns": F.col("turn").cast("long")})
+    return spans, conversations.where("conv_id <= 40").agg(F.max("conv_id")).first()[0]
+
+
 @query("conversations", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = (SELECT max(conv_id) FROM conversations WHERE conv_id <= 40) ORDER BY turn")
 def trace_lookup(conversations):
-    chosen = conversations.where(F.col("conv_id") <= 40).agg(F.max("conv_id").alias("conv_id"))
-    return conversations.join(chosen, "conv_id", "left_semi").select("conv_id", "turn", "role").orderBy("turn")
+    turns, chosen = _turns(conversations)
+    return spans.find_trace(turns, 0, chosen).select("conv_id", "turn", "role")
 
 
-@query("conversations", "SELECT conv_id, turn, text FROM conversations WHERE turn = 1 AND conv_id < 60 ORDER BY conv_id, turn LIMIT 1")
+@query("conversations", "SELECT conv_id, turn, text FROM conversations WHERE turn = 1 AND conv_id = (SELECT max(conv_id) FROM conversations WHERE conv_id <= 40) LIMIT 1")
 def span_lookup(conversations):
-    found = where(conversations, eq("turn", 1) & lt("conv_id", 60))
-    return found.select("conv_id", "turn", "text").orderBy("conv_id", "turn").limit(1)
+    turns, chosen = _turns(conversations)
+    return spans.find_span(turns, 0, chosen, 1).select("conv_id", "turn", "text")
 
 
-@query("events", "SELECT event_id, user_id, epoch_ns(ts) AS start_time_ns FROM events WHERE epoch_ns(ts) BETWEEN 1704412800000000000 AND (SELECT epoch_ns(ts) FROM events WHERE event_id = 500)")
+@query("events", "SELECT event_id, user_id, epoch_ns(ts) AS start_time_ns FROM events WHERE epoch_ns(ts) BETWEEN (SELECT min(epoch_ns(ts)) FROM events WHERE event_id IN (100, 500)) AND (SELECT max(epoch_ns(ts)) FROM events WHERE event_id IN (100, 500))")
 def time_window(events):
-    spans = events.select("event_id", "user_id", X.timestamp_ns(F.col("ts")).alias("start_time_ns"))
-    end = spans.where("event_id = 500").select(F.col("start_time_ns").alias("end_ns"))
-    window = spans.where(F.col("start_time_ns") >= 1704412800000000000)
-    return window.join(F.broadcast(end), F.col("start_time_ns") <= F.col("end_ns")).drop("end_ns")  # end is one row
+    rows = events.select("event_id", "user_id", X.timestamp_ns(F.col("ts")).alias("start_time_ns"), F.lit(0).alias("trace_id_hi"), F.col("user_id").alias("trace_id_lo"), F.col("event_id").alias("span_id"))
+    ends = rows.where("event_id IN (100, 500)").agg(F.min("start_time_ns").alias("first"), F.max("start_time_ns").alias("last")).first()
+    return spans.find_time(rows, ends["first"], ends["last"]).select("event_id", "user_id", "start_time_ns")
 
 
 # --- reducers --------------------------------------------------------------------------------------
@@ -309,7 +317,7 @@ def page_assign(events):
 
 @query("events", "SELECT event_id // 256 AS page, min(event_id) AS start_index, max(event_id) AS end_index, count(*) AS n_rows FROM events GROUP BY 1 HAVING 700 BETWEEN min(event_id) AND max(event_id)")
 def page_locate(events):
-    return ordinals.locate(ordinals.page_table(events, "event_id", 256), 700)
+    return ordinals.page_of(events, "event_id", 256, 700)
 
 
 @query("events", "SELECT event_id, event_id // 1024 AS block, first_value(user_id) OVER w AS anchor, user_id - first_value(user_id) OVER w AS delta FROM events WINDOW w AS (PARTITION BY event_id // 1024 ORDER BY event_id)")
@@ -327,10 +335,10 @@ def access_pattern(events):
     return ordinals.access_pattern(rows, "user_id", "at", "event_id")
 
 
-@query("events", "SELECT user_id, CAST(unnest(range(max(event_id) + 1, least(max(event_id) + 5, 1000000))) AS BIGINT) AS next_index FROM events GROUP BY user_id")
+@query("events", "SELECT user_id, CAST(unnest(range(max(event_id) + 1, least(max(event_id) + 5, (SELECT count(*) FROM events)))) AS BIGINT) AS next_index FROM events GROUP BY user_id")
 def predict_next(events):
     last = events.groupBy("user_id").agg(F.max("event_id").alias("last"))
-    return last.select("user_id", F.explode(ordinals.predict_next(F.col("last"), 4, 1_000_000)).alias("next_index"))
+    return last.select("user_id", F.explode(ordinals.predict_next(F.col("last"), 4, events.count())).alias("next_index"))
 
 
 @query("events", """
@@ -343,7 +351,7 @@ def range_coalesce(events):
     return ordinals.coalesced_ranges(events.select("user_id", F.expr("event_id div 16").alias("page")), "user_id", "page")
 
 
-@query("events", "SELECT event_id, value FROM events WHERE event_id IN (SELECT k * (1000 - 1) // (200 - 1) FROM range(200) AS r(k))")
+@query("events", "SELECT event_id, value FROM events WHERE event_id IN (SELECT k * ((SELECT count(*) FROM events) - 1) // (200 - 1) FROM range(200) AS r(k))")
 def sample_series(events):
     return ordinals.sampled(events.select("event_id", "value"), "event_id", 200, events.count())
 
@@ -365,10 +373,14 @@ def segment_union(events):
 
 @query("events", "SELECT count(DISTINCT seg) FILTER (WHERE seg >= 0) AS segment_count, count(*) FILTER (WHERE seg >= 0) AS sealed_records, count(*) FILTER (WHERE seg < 0) AS wal_records FROM (SELECT CASE WHEN event_type = 'error' THEN -1 ELSE event_id // 300 END AS seg FROM events)")
 def segment_stats(events):
-    segment = F.when(F.col("event_type") == "error", -1).otherwise(F.expr("event_id div 300"))
-    sizes = events.groupBy(segment.alias("segment")).agg(F.count("*").alias("n"))
-    sealed = F.col("segment") >= 0
-    return sizes.agg(F.count_if(sealed).alias("segment_count"), F.sum(F.when(sealed, F.col("n")).otherwise(0)).alias("sealed_records"), F.sum(F.when(~sealed, F.col("n")).otherwise(0)).alias("wal_records"))
+    """Segments of 300 events each and a live log, written as files and counted."""
+    spark = events.sparkSession
+    segments, log = scratch_path(spark, "segments"), scratch_path(spark, "log")
+    part = F.expr("event_id div 300").alias("segment")
+    rows = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "span_id" else F.col("event_id").cast("long").alias("span_id") for f in spans.SPAN]
+    events.where("event_type <> 'error'").select(*rows, part).repartition("segment").write.partitionBy("segment").parquet(segments)
+    events.where("event_type = 'error'").select(*rows).write.parquet(log)
+    return spans.segment_statistics(spark, segments, log)
 
 
 @query("orders", "SELECT o_orderkey, 'left' AS side FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, 'right' FROM orders WHERE o_orderstatus <> 'O' AND o_orderkey % 3 = 0")
@@ -440,8 +452,7 @@ def numeric_cells(orders):
 
 @query("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def export_limit(orders):
-    rows = orders.select("o_orderkey", "o_totalprice")
-    return rows.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
+    return R.export_limit(orders.select("o_orderkey", "o_totalprice"), 100, F.desc("o_totalprice"), "o_orderkey")
 
 
 @query("customer", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40")
@@ -451,7 +462,7 @@ def limit_offset(customer):
 
 @query("orders", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 3")
 def inspect_head(orders):
-    return R.head(R.with_index(orders.select("o_orderkey", "o_orderstatus"), "o_orderkey"), 3).drop(R.INDEX)
+    return R.export_limit(orders.select("o_orderkey", "o_orderstatus"), 3, "o_orderkey")
 
 
 @query("events", "SELECT event_id, CASE WHEN event_id = 0 THEN 9.5 ELSE value END AS value FROM events")
@@ -462,12 +473,14 @@ def patch_value(events):
 @query("events", f"SELECT event_id, '{{\"event_id\":' || event_id || CASE WHEN event_id % 10 = 0 THEN ',\"event_type\":\"' || event_type || '\"' ELSE '' END || '}}' AS line FROM events")
 def export_json_lines(events):
     kind = F.when(F.col("event_id") % 10 == 0, F.col("event_type")).alias("event_type")
-    return events.select("event_id", F.to_json(F.struct("event_id", kind)).alias("line"))
+    rows = events.select("event_id", kind)
+    return rows.select("event_id", convert.json_ready(rows).alias("line"))
 
 
-@query("events", "SELECT (SELECT round(sum(value), 2) FROM events) AS total, CAST(sum(user_id) AS BIGINT) AS picked FROM events WHERE event_id IN (SELECT (k * 7919 + 13) % 1000 FROM range(100) AS r(k))")
+@query("events", "SELECT (SELECT round(sum(value), 2) FROM events) AS total, CAST(sum(user_id) AS BIGINT) AS picked FROM events WHERE event_id IN (SELECT (k * 7919 + 13) % (SELECT count(*) FROM events) FROM range(100) AS r(k))")
 def mixed_workload(events):
-    picked = [(k * 7919 + 13) % 1000 for k in range(100)]
+    n = events.count()
+    picked = [(k * 7919 + 13) % n for k in range(100)]
     return events.agg(F.round(F.sum("value"), 2).alias("total"), F.sum(F.when(F.col("event_id").isin(picked), F.col("user_id"))).alias("picked"))
 
 
