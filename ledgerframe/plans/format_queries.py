@@ -8,12 +8,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerframe.functions.predicates import eq, where
+from ledgerframe.operators import registry
 from ledgerframe.operators.spans import ingest_json, printable
-from ledgerframe.sources.codec import RecordFile, log_header, log_record, recover_log, write_file
-from ledgerframe.sources.recordfile import batches, fields_of
-from ledgerframe.sources.textfmt import parse, records
+from ledgerframe.sources import convert
+from ledgerframe.sources.codec import log_header, log_record, recover_log
+from ledgerframe.sources.recordfile import directory_index, register
+from ledgerframe.sources.scratch import scratch_path
+from ledgerframe.sources.textfmt import read_text_records
 from ledgerframe.streaming.ingest import running_totals
 
 COLUMNS = ("c_custkey", "c_name", "c_acctbal", "rich", "sparse")
@@ -27,22 +31,35 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def through_files(frame: DataFrame, layout: str) -> DataFrame:
-    """frame, each batch of which was written as a sealed file of the layout and read again."""
-    schema = frame.schema
-    fields = fields_of(schema)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = [{k: v for k, v in row.items() if v is not None} for row in part.to_pylist()]
-            yield from batches(RecordFile(write_file(fields, rows, layout, 256)), "", schema)
-
-    return frame.mapInArrow(run, schema)
+    """frame, written by the data source as files of the layout and read again by it."""
+    spark, path = frame.sparkSession, scratch_path(frame.sparkSession, "records")
+    register(spark)
+    frame.write.format("recordfile").mode("append").options(layout=layout, page_size=256).save(path)
+    return spark.read.format("recordfile").load(path.removeprefix("file://")).select(*frame.columns)
 
 
 def layout_query(layout: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: through_files(customers(spark, sf_dir), layout)
 
 
+def layout_stream(layout: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Files read as a stream, as if they still grew, into a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame, source, out = customers(spark, sf_dir), scratch_path(spark, "growing"), scratch_path(spark, "streamed")
+        register(spark)
+        frame.write.format("recordfile").mode("append").options(layout=layout, page_size=256).save(source)
+        stream = spark.readStream.format("recordfile").load(source.removeprefix("file://")).select(*frame.columns)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", scratch_path(spark, "progress")).start(out)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        return spark.read.schema(frame.schema).parquet(out)
+
+    return run
+
+
 def layout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same predicate gives the same rows whatever the layout."""
     frame = customers(spark, sf_dir)
@@ -55,17 +72,66 @@ def layout_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations written in the text format, one source per row, compiled to rows; a macro adds to the key."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Nations written as source files of the text format and compiled to rows; a macro adds to the key."""
+    nation, path = spark.read.parquet(f"{sf_dir}/nation.parquet"), scratch_path(spark, "source")
     source = F.format_string('nation { key: =%d name: "%s" next: !@key + =1 label: !"n-" + @name region: ^ }', "n_nationkey", "n_name")
+    nation.select(source.alias("value")).repartition(4).write.text(path)
+    schema = T.StructType.fromDDL("key long, name string, next long, label string")
+    rows = read_text_records(spark, path, schema)
+    return rows.select("key", "name", "next", "label", F.array_contains("_null_fields", "region").alias("region_is_null"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a field that is missing in some rows, text that needs quotes, and numbers of both kinds."""
+    size = F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("size")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("key"), F.concat(F.col("p_name"), F.lit(' "a", b')).alias("name"), size, F.round("p_retailprice", 2).alias("price"), (F.col("p_size") > 25).alias("large"))
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported as one object per line, imported with inferred types."""
+    path = scratch_path(spark, "json")
+    convert.write_json(_parts(spark, sf_dir), path)
+    return convert.read_json(spark, path, lines=True).select("key", "name", "size", "price", "large")
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    convert.write_csv(_parts(spark, sf_dir), path, delimiter=";")
+    return convert.read_csv(spark, path, delimiter=";").select("key", "name", "size", "price", "large")
+
+
+def csv_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a schema hint nothing is inferred: a number stays text where the hint says so."""
+    path = scratch_path(spark, "csv")
+    convert.write_csv(_parts(spark, sf_dir), path)
+    return convert.read_csv(spark, path, hint={"key": "string", "price": "f64"})
+
+
+def xml_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as elements with an attribute, in one document."""
+    path = scratch_path(spark, "xml")
+    element = F.format_string('<nation id="%d"><name>%s</name></nation>', "n_nationkey", "n_name")
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(element.alias("e"))
+    nation.agg(F.concat(F.lit("<list>"), F.array_join(F.collect_list("e"), "\n"), F.lit("</list>")).alias("value")).write.text(path)  # 25 nations
+    return convert.read_xml(spark, path, "nation").select("id", "name")
+
+
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a subject and one of another, in the order of the registry."""
+    path, schema = scratch_path(spark, "registry"), spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").schema
+    registry.push(spark, path, "region", schema)
+    registry.push(spark, path, "region", T.StructType([*schema, T.StructField("note", T.StringType())]))
+    registry.push(spark, path, "region", T.StructType([*schema, T.StructField("note", T.StringType())]))  # known: no new version
+    registry.push(spark, path, "other", schema)
+    return registry.listing(spark, path).select("subject", "version", "key_count", "policy")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            rows = [records(parse(text))[0][0] for text in part.column(0).to_pylist()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in (("key", pa.int64()), ("name", pa.string()), ("next", pa.int64()), ("label", pa.string()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(["region" in r["_null_fields"] for r in rows])], ["key", "name", "next", "label", "region_is_null"])
 
-    return nation.select(source.alias("source")).mapInArrow(run, "key long, name string, next long, label string, region_is_null boolean")
+def file_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by the index of a folder's files."""
+    frame, path = customers(spark, sf_dir), scratch_path(spark, "records")
+    register(spark)
+    frame.write.format("recordfile").mode("append").options(layout="paged", page_size=256).save(path)
+    return directory_index(spark, path).agg(F.sum("record_count").alias("records"), F.min(F.col("size_bytes") > 0).alias("sized"))
 
 
 def _span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +180,15 @@ _SPANS_SQL = "SELECT lpad(lower(to_hex(user_id)), 32, '0') AS trace_id, event_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layout_row": layout_query("row"), "layout_compact": layout_query("compact"), "layout_columnar": layout_query("columnar"), "layout_paged": layout_query("paged"), "layout_filter": layout_filter,
     "text_compile": text_compile, "span_ingest": span_ingest, "span_rejects": span_rejects, "log_recovery": log_recovery, "streaming_totals": streaming_totals,
+    "stream_row": layout_stream("row"), "stream_compact": layout_stream("compact"), "stream_paged": layout_stream("paged"), "file_index": file_index,
+    "json_round_trip": json_round_trip, "csv_round_trip": csv_round_trip, "csv_hint": csv_hint, "xml_import": xml_import, "registry_versions": registry_versions,
 }
-ORACLE_SQL: dict[str, str] = {f"layout_{x}": f"SELECT {COLUMNS_SQL} FROM customer" for x in ("row", "compact", "columnar", "paged")} | {
+_PARTS_SQL = "SELECT CAST(p_partkey AS BIGINT) AS key, p_name || ' \"a\", b' AS name, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS BIGINT) END AS size, round(p_retailprice, 2) AS price, p_size > 25 AS large FROM part"
+ORACLE_SQL: dict[str, str] = {x: f"SELECT {COLUMNS_SQL} FROM customer" for x in ("layout_row", "layout_compact", "layout_columnar", "layout_paged", "stream_row", "stream_compact", "stream_paged")} | {
+    "json_round_trip": _PARTS_SQL, "csv_round_trip": _PARTS_SQL, "csv_hint": f"SELECT CAST(key AS VARCHAR) AS key, price FROM ({_PARTS_SQL})",
+    "xml_import": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation",
+    "registry_versions": "SELECT * FROM (VALUES ('other', CAST(1 AS BIGINT), CAST(2 AS BIGINT), 'additive_only'), ('region', 1, 2, 'additive_only'), ('region', 2, 3, 'additive_only')) AS t(subject, version, key_count, policy)",
+    "file_index": "SELECT count(*) AS records, true AS sized FROM customer",
     "layout_filter": f"SELECT layout, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM (SELECT {COLUMNS_SQL} FROM customer), (VALUES ('row'), ('compact'), ('columnar'), ('paged')) AS l(layout) WHERE NOT coalesce(sparse = 'BUILDING', false) AND rich GROUP BY layout",
     "text_compile": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_nationkey + 1 AS BIGINT) AS next, 'n-' || n_name AS label, true AS region_is_null FROM nation",
     "span_ingest": _SPANS_SQL,

@@ -4,6 +4,8 @@ Reading: options path (file, folder or glob, in any store that pyarrow.fs or Spa
 one partition; a paged file is one partition per run of pages, read by byte range.  Columns are handed
 to Spark as Arrow batches.  Hidden columns: _record_index, _null_fields (explicit nulls), _file.
 Writing: one file per task; options layout (compact, row, columnar, paged) and page_size.
+Streaming: readStream reads the complete records (row layouts) or pages (paged) of files that still
+grow, each once; a columnar file can't grow, so it is an error.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 from ledgerframe.errors import OutOfBounds, RecordError
-from ledgerframe.sources.codec import PAGE_ROWS, Field, RecordFile, column_array, decode_header, decode_page, recover_log, take, unsealed_pages, unsealed_records, write_file
+from ledgerframe.sources.codec import PAGE_ROWS, Field, Header, RecordFile, column_array, decode_header, decode_page, recover_log, take, unsealed_pages, unsealed_records, write_file
 
 SPARK_TYPES = {"=": T.LongType(), "~": T.DoubleType(), "?": T.BooleanType(), '"': T.StringType(), "$": T.StringType(), "@": T.LongType(), "<": T.BinaryType(), "^": T.StringType()}
 HIDDEN = T.StructType([T.StructField("_record_index", T.LongType()), T.StructField("_null_fields", T.ArrayType(T.StringType())), T.StructField("_file", T.StringType())])
 BATCH_ROWS = 8_192
 HEADER_BYTES = 1 << 16
 PAGES_PER_PARTITION = 64
+#: Bytes that a streaming step reads of a file at first.
+STEP_BYTES = 16 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -45,6 +49,20 @@ def files_at(path: str, suffix: str = "") -> list[str]:
     return sorted(scheme + f.path for f in found if keep(f))
 
 
+def read_header(path: str) -> tuple[Header, bytes]:
+    """A file's header and its bytes, from the beginning of the file and no more of it than needed."""
+    size = HEADER_BYTES
+    while True:
+        data = read_bytes(path, 0, size)
+        try:
+            header = decode_header(data)
+            return header, data[: header.start]
+        except OutOfBounds:
+            if len(data) < size:  # the file ends before its header does
+                raise
+            size *= 4
+
+
 def read_bytes(path: str, start: int = 0, size: int | None = None) -> bytes:
     fs, inner = filesystem(path)
     with fs.open_input_file(inner) as f:
@@ -91,13 +109,16 @@ class Source(DataSource):
         """The union of the files' fields in the order first seen; fields that a file lacks are absent in it."""
         seen: dict[str, T.StructField] = {}
         for path in self._files():
-            for f in schema_of(decode_header(read_bytes(path, 0, None if "://" not in path else HEADER_BYTES)).fields):
+            for f in schema_of(read_header(path)[0].fields):
                 seen.setdefault(f.name, f)
         return T.StructType([*seen.values(), *HIDDEN])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return Reader(self._files(), schema)
 
+    def simpleStreamReader(self, schema: T.StructType) -> SimpleDataSourceStreamReader:
+        return Growing(self.options["path"], schema)
+
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return Writer(self.options["path"], schema, self.options.get("layout", "compact"), int(self.options.get("page_size", PAGE_ROWS)), overwrite)
 
@@ -109,8 +130,7 @@ class Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for path in self.paths:
-            head = read_bytes(path, 0, None)[:HEADER_BYTES] if "://" not in path else read_bytes(path, 0, HEADER_BYTES)
-            if decode_header(head, verify=False).layout != "paged":
+            if read_header(path)[0].layout != "paged":
                 out.append(Slice(path))
                 continue
             fs, inner = filesystem(path)
@@ -125,12 +145,56 @@ class Reader(DataSourceReader):
         if partition.pages is None:
             yield from batches(RecordFile(read_bytes(partition.path)), partition.path, self.schema)
             return
-        fields = decode_header(read_bytes(partition.path, 0, HEADER_BYTES), verify=False).fields
+        fields = read_header(partition.path)[0].fields
         for first, at, size in partition.pages:
             _, _, columns, _ = decode_page(fields, read_bytes(partition.path, at, size), 0)
             yield column_batch(fields, columns, first, partition.path, self.schema)
 
 
+class Growing(SimpleDataSourceStreamReader):
+    """Files that grow.  An offset holds, by file, the next byte and the next record's index; a step reads some megabytes of a file."""
+
+    def __init__(self, path: str, schema: T.StructType):
+        self.path, self.schema = path, schema
+
+    def initialOffset(self) -> dict:
+        return {"files": {}}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, files = [], dict(start["files"])
+        for path in files_at(self.path):
+            got, files[path] = self._step(path, *files.get(path, (0, 0)))
+            rows += got
+        return iter(rows), {"files": files}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        for path, (to, _) in end["files"].items():
+            yield from self._step(path, *start["files"].get(path, (0, 0)), to)[0]
+
+    def commit(self, end: dict) -> None:
+        """Nothing to let go of: the files stay."""
+
+    def _step(self, path: str, at: int, index: int, end: int | None = None) -> tuple[list[tuple], list[int]]:
+        """Rows from byte `at` (0: the first record) up to `end`, or as far as a step goes; where to go on."""
+        try:
+            header, head = read_header(path)
+        except OutOfBounds:  # not even the header is complete yet
+            return [], [at, index]
+        complete = unsealed_pages if header.layout == "paged" else unsealed_records
+        at, size = at or header.start, STEP_BYTES
+        while True:
+            part = read_bytes(path, at, size if end is None else end - at)
+            records, next_at = complete(head + part)
+            if records or end is not None or len(part) < size:
+                break
+            size *= 4  # one record or page is longer than a step
+        rows = []
+        for i, record in enumerate(records, index):
+            whole = record | {"_record_index": i, "_null_fields": [k for k, v in record.items() if v is None], "_file": path}
+            rows.append(tuple(whole.get(f.name) for f in self.schema))
+        return rows, [at + next_at - len(head), index + len(rows)]
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -4,8 +4,9 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerframe.errors import DepthLimit, ListTypeMismatch, MacroUnresolved, Overflow, ParseFailure, RecordError
+from ledgerframe.errors import DepthLimit, ListTypeMismatch, MacroUnresolved, Overflow, ParseFailure, RecordError, UnsupportedLayout
 from ledgerframe.operators import registry
 from ledgerframe.operators.inference import infer_types
 from ledgerframe.operators.spans import SPAN, find_span, find_time, find_trace, ingest_json, live_view, seal, segment_statistics
@@ -155,3 +156,42 @@ def test_registry(spark, tmp_path):
     assert registry.by_hash(spark, path, second).first().version == 2 and registry.listing(spark, path).count() == 2
     with pytest.raises(registry.SchemaConflict):
         registry.push(spark, path, "s", base)
+
+
+@pytest.mark.parametrize("layout", ["row", "paged"])
+def test_files_that_grow(spark, tmp_path, layout):
+    """Only complete records or pages are read, each once, also when more bytes come; a columnar file is refused."""
+    from ledgerframe.sources.codec import Field, decode_header, write_file
+    from ledgerframe.sources.recordfile import HIDDEN, Growing, schema_of
+
+    fields = [Field("id", "="), Field("name", '"')]
+    rows = [{"id": i, "name": f"n{i}"} if i % 3 else {"id": i} for i in range(40)]
+    data = write_file(fields, rows, layout, 8)
+    data = data[: decode_header(data).tail] if layout == "row" else data
+    path = tmp_path / "in" / "a"
+    path.parent.mkdir()
+    reader = Growing(str(path.parent), StructType([*schema_of(fields).fields, *HIDDEN.fields]))
+    offset, got, steps = reader.initialOffset(), [], []
+    for size in (20, len(data) // 3, len(data) // 2, len(data)):
+        path.write_bytes(data[:size])
+        new, end = reader.read(offset)
+        new = list(new)
+        assert list(reader.readBetweenOffsets(offset, end)) == new
+        steps.append(len(new))
+        got, offset = got + new, end
+    assert [(r[0], r[1], r[2]) for r in got] == [(r["id"], r.get("name"), i) for i, r in enumerate(rows)]
+    assert steps[0] == 0 and all(steps[1:])
+    path.write_bytes(write_file(fields, rows, "columnar"))
+    with pytest.raises(UnsupportedLayout):
+        reader.read(reader.initialOffset())
+
+
+def test_long_headers_are_read_whole(spark, tmp_path, monkeypatch):
+    from ledgerframe.sources.codec import Field, write_file
+    from ledgerframe.sources.recordfile import read_header
+
+    fields = [Field(f"field_{i}", "=") for i in range(300)]
+    (tmp_path / "x").write_bytes(write_file(fields, [{"field_7": 1}], "row"))
+    monkeypatch.setattr("ledgerframe.sources.recordfile.HEADER_BYTES", 64)
+    header, data = read_header(str(tmp_path / "x"))
+    assert len(header.fields) == 300 and len(data) == header.start
