@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerframe.functions.scalars import hex_long, trace_halves, trace_hex
 from ledgerframe.operators.records import concatenated
+from ledgerframe.sources.recordfile import filesystem
 
 SPAN = T.StructType([
     T.StructField("trace_id_hi", T.LongType()), T.StructField("trace_id_lo", T.LongType()), T.StructField("span_id", T.LongType()),
@@ -37,7 +40,7 @@ def ingest_json(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
 
 def live_view(spark: SparkSession, segments: str, log: str | None = None) -> DataFrame:
     """Spans of all sealed segments (Parquet) and, if given, of the live log; nothing is dropped as a repeat."""
-    sealed = spark.read.schema(SPAN).parquet(segments)
+    sealed = spark.read.schema(SPAN).option("recursiveFileLookup", True).parquet(segments)
     return concatenated(sealed, spark.read.schema(SPAN).parquet(log)) if log else sealed
 
 
@@ -62,15 +65,26 @@ def printable(spans: DataFrame) -> DataFrame:
 
 def segment_statistics(spark: SparkSession, segments: str, log: str | None = None) -> DataFrame:
     """One row: segment_count, sealed_records, wal_records."""
-    per_file = spark.read.schema(SPAN).parquet(segments).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    per_file = spark.read.schema(SPAN).option("recursiveFileLookup", True).parquet(segments).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
     sealed = per_file.agg(F.count("*").alias("segment_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("sealed_records"))
     live = spark.read.schema(SPAN).parquet(log).agg(F.count("*").alias("wal_records")) if log else spark.range(1).select(F.lit(0).cast("long").alias("wal_records"))
     return sealed.crossJoin(live)  # one row each
 
 
-def seal(spark: SparkSession, log: str, segments: str) -> dict[str, object]:
-    """Append the log's spans to the segments in time order; the caller then drops the log."""
-    spans = spark.read.schema(SPAN).parquet(log)
-    n = spans.count()
-    spans.sortWithinPartitions(*ORDER).write.mode("append").parquet(segments)
-    return {"records": n, "path": segments}
+def seal(spark: SparkSession, log: str, segments: str, drop: bool = False) -> dict[str, object]:
+    """Write the log's spans as one segment in time order and, if asked, drop the files it came from.
+
+    The segment is named after the log's files, so sealing the same log again replaces it.  Spans logged
+    meanwhile stay in the log.
+    """
+    files = sorted(spark.read.schema(SPAN).parquet(log).inputFiles())
+    if not files:
+        return {"records": 0, "path": None}
+    name = hashlib.blake2b("\n".join(files).encode(), digest_size=8).hexdigest()
+    path = f"{segments.rstrip('/')}/segment={name}"
+    spark.read.schema(SPAN).parquet(*files).orderBy(*ORDER).write.mode("overwrite").parquet(path)
+    n = spark.read.schema(SPAN).parquet(path).count()
+    for file in files if drop else []:
+        fs, inner = filesystem(file)
+        fs.delete_file(inner)
+    return {"records": n, "path": path}

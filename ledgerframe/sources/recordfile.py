@@ -1,8 +1,9 @@
 """Binary record files as a Spark data source (format "recordfile").
 
-Reading: options path (file, folder or glob, in any store that pyarrow.fs or Spark knows).  A file is
-one partition; a paged file is one partition per run of pages, read by byte range.  Columns are handed
-to Spark as Arrow batches.  Hidden columns: _record_index, _null_fields (explicit nulls), _file.
+Reading: options path (file, folder or glob, in any store that pyarrow.fs or Spark knows) and columns
+(names with commas between, all by default; .schema(...) does the same).  A file is one partition; a paged
+file is one partition per run of pages, read by byte range; of a columnar file only the columns asked for
+are read.  Columns are handed to Spark as Arrow batches.  Hidden columns: _record_index, _null_fields (explicit nulls), _file.
 Writing: one file per task; options layout (compact, row, columnar, paged) and page_size.
 Streaming: readStream reads the complete records (row layouts) or pages (paged) of files that still
 grow, each once; a columnar file can't grow, so it is an error.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
-from ledgerframe.errors import OutOfBounds, RecordError
-from ledgerframe.sources.codec import PAGE_ROWS, Field, Header, RecordFile, column_array, decode_header, decode_page, recover_log, take, unsealed_pages, unsealed_records, write_file
+from ledgerframe.errors import OutOfBounds, RecordError, UnsupportedLayout
+from ledgerframe.sources.codec import PAGE_ROWS, Field, Header, RecordFile, column_array, decode_column, decode_header, decode_page, recover_log, take, unsealed_pages, unsealed_records, write_file
 
 SPARK_TYPES = {"=": T.LongType(), "~": T.DoubleType(), "?": T.BooleanType(), '"': T.StringType(), "$": T.StringType(), "@": T.LongType(), "<": T.BinaryType(), "^": T.StringType()}
 HIDDEN = T.StructType([T.StructField("_record_index", T.LongType()), T.StructField("_null_fields", T.ArrayType(T.StringType())), T.StructField("_file", T.StringType())])
@@ -111,6 +112,11 @@ class Source(DataSource):
         for path in self._files():
             for f in schema_of(read_header(path)[0].fields):
                 seen.setdefault(f.name, f)
+        if "columns" in self.options:
+            wanted = [c.strip() for c in self.options["columns"].split(",")]
+            if missing := [c for c in wanted if c not in seen]:
+                raise RecordError(f"no such column: {', '.join(missing)}")
+            seen = {c: seen[c] for c in wanted}
         return T.StructType([*seen.values(), *HIDDEN])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
@@ -143,6 +149,10 @@ class Reader(DataSourceReader):
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         if partition.pages is None:
+            header = read_header(partition.path)[0]
+            if header.layout == "columnar":
+                yield self._sectors(partition.path, header)
+                return
             yield from batches(RecordFile(read_bytes(partition.path)), partition.path, self.schema)
             return
         fields = read_header(partition.path)[0].fields
@@ -150,6 +160,19 @@ class Reader(DataSourceReader):
             _, _, columns, _ = decode_page(fields, read_bytes(partition.path, at, size), 0)
             yield column_batch(fields, columns, first, partition.path, self.schema)
 
+    def _sectors(self, path: str, header: Header) -> pa.RecordBatch:
+        """The schema's columns of a columnar file, each read by its byte range."""
+        if not header.tail:
+            raise UnsupportedLayout("columnar files cannot be streamed")
+        fs, inner = filesystem(path)
+        tail, count = take(read_bytes(path, fs.get_file_info(inner).size - 20, 20), "<QQ", 0)
+        entries = read_bytes(path, tail, 20 * len(header.fields))
+        # without any column the first one tells how many records there are
+        wanted = [i for i, f in enumerate(header.fields) if f.name in self.schema.names] or [0][: len(header.fields)]
+        places = [take(entries, "<HHQQ", 20 * i) for i in wanted]
+        columns = [decode_column(read_bytes(path, at, size), 0, header.fields[i], count)[:2] for i, _, at, size in places]
+        return column_batch([header.fields[i] for i in wanted], columns, 0, path, self.schema)
+
 
 class Growing(SimpleDataSourceStreamReader):
     """Files that grow.  An offset holds, by file, the next byte and the next record's index; a step reads some megabytes of a file."""
@@ -203,7 +226,7 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
 
 def column_batch(fields: list[Field], columns: list, first: int, path: str, schema: T.StructType) -> pa.RecordBatch:
     n = len(columns[0][0]) if columns else 0
-    made = {f.name: column_array(f, *c) for f, c in zip(fields, columns, strict=True)}
+    made = {f.name: column_array(f, *c) for f, c in zip(fields, columns, strict=True) if f.name in schema.names}
     made |= {"_record_index": pa.array(range(first, first + n), pa.int64()), "_null_fields": pa.array([[]] * n, pa.list_(pa.string())), "_file": pa.array([path] * n)}
     return pa.RecordBatch.from_arrays([made[f.name] if f.name in made else pa.nulls(n, arrow_type(f.dataType)) for f in schema], names=schema.names)
 
