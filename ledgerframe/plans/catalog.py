@@ -16,7 +16,7 @@ from ledgerframe.functions.predicates import Not, eq, first_match, gt, lt, truth
 from ledgerframe.operators import inference, ordinals, reducers, spans
 from ledgerframe.operators import records as R
 from ledgerframe.operators import registry
-from ledgerframe.plans import format_queries
+from ledgerframe.plans import format_queries, tool_queries
 from ledgerframe.sources import convert
 from ledgerframe.sources.scratch import scratch_path
 
@@ -493,5 +493,5 @@ def parent_spans(events):
     return found.select("event_id", F.when(F.col("known"), F.col("parent_id")).alias("parent_id"), F.round(F.col("value") - F.col("parent_value"), 6).alias("change"))
 
 
-QUERIES |= format_queries.QUERIES
-ORACLE_SQL |= format_queries.ORACLE_SQL
+QUERIES |= format_queries.QUERIES | tool_queries.QUERIES
+ORACLE_SQL |= format_queries.ORACLE_SQL | tool_queries.ORACLE_SQL
