@@ -480,6 +480,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, cells: int, width: int, percen
             node = right.column("node").to_numpy()
             ok = PrefixTree(sets(right.column("body"))).similar(np.searchsorted(node, a), np.searchsorted(node, b), percent)
             a, b = a[ok], b[ok]
+            release()
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     links = stored(placed.repartition(cells, "at").groupBy("at").cogroup(sent.repartition(cells, "to").groupBy("to")).applyInArrow(check, "a long, b long"), "verified")

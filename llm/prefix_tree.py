@@ -7,7 +7,7 @@ import numpy as np
 #: Items of an edge that are looked at in one step.
 EDGE = 48
 #: Items that a step may look up at once.
-STEP_ITEMS = 1 << 21
+STEP_ITEMS = 1 << 18
 
 
 def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
