@@ -13,7 +13,7 @@ from ledgerframe.operators import access, registry, spans
 from ledgerframe.operators import records as R
 from ledgerframe.plans.format_queries import COLUMNS_SQL, customers
 from ledgerframe.sources import convert, fixtures, tools
-from ledgerframe.sources.recordfile import files_at, read_log, register
+from ledgerframe.sources.recordfile import files_at, read_log, register, write_log
 from ledgerframe.sources.scratch import scratch_path
 from ledgerframe.streaming import ingest
 
@@ -320,29 +320,7 @@ def schema_by_hash(spark, sf_dir):
 
 @query("SELECT event_id AS span_id, event_type AS name FROM events")
 def log_files(spark, sf_dir):
-    """Spans of append logs, a file a partition, as a table."""
-    from ledgerframe.sources.codec import log_header, log_record
-    from ledgerframe.sources.recordfile import filesystem
-
+    """Spans of append logs, some a partition, as a table."""
     folder = scratch_path(spark, "logs")
-
-    def append(parts):
-        import uuid
-
-        import pyarrow as pa
-
-        data, n = log_header(), 0
-        for part in parts:
-            for row in part.to_pylist():
-                data += log_record({k: v for k, v in row.items() if v is not None})
-                n += 1
-        fs, inner = filesystem(folder)
-        fs.create_dir(inner, recursive=True)
-        with fs.open_output_stream(f"{inner}/{uuid.uuid4().hex}.log") as out:
-            out.write(data)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    event_spans(spark, sf_dir).repartition(3).mapInArrow(append, "n long").agg(F.sum("n")).collect()  # one row
+    write_log(event_spans(spark, sf_dir).repartition(max(3, spark.sparkContext.defaultParallelism)), folder)
     return read_log(spark, folder).select("span_id", "name")
-
-

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 from ledgerframe.errors import OutOfBounds, RecordError, UnsupportedLayout
-from ledgerframe.sources.codec import PAGE_ROWS, Field, Header, RecordFile, column_array, decode_column, decode_header, decode_page, recover_log, take, unsealed_pages, unsealed_records, write_file
+from ledgerframe.sources.codec import PAGE_ROWS, Field, Header, RecordFile, column_array, decode_column, decode_header, decode_page, log_header, log_record, log_records, take, unsealed_pages, unsealed_records, write_file
 
 SPARK_TYPES = {"=": T.LongType(), "~": T.DoubleType(), "?": T.BooleanType(), '"': T.StringType(), "$": T.StringType(), "@": T.LongType(), "<": T.BinaryType(), "^": T.StringType()}
 HIDDEN = T.StructType([T.StructField("_record_index", T.LongType()), T.StructField("_null_fields", T.ArrayType(T.StringType())), T.StructField("_file", T.StringType())])
@@ -32,6 +33,8 @@ HEADER_BYTES = 1 << 16
 PAGES_PER_PARTITION = 64
 #: Bytes that a streaming step reads of a file at first.
 STEP_BYTES = 16 << 20
+#: A task that has written this much to a span log begins another one.
+LOG_BYTES = 8 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -311,6 +314,37 @@ def read_through_spark(spark: SparkSession, path: str, schema: T.StructType) ->
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, full)
 
 
+def write_log(spans: DataFrame, path: str, log_bytes: int = LOG_BYTES) -> int:
+    """Append logs of the spans in a folder, at least one a task with rows, each of about log_bytes at most; the number of spans.
+
+    As with record files, logs get their names when all tasks have succeeded, so a task that runs again leaves none twice.
+    """
+    path = path.rstrip("/")
+
+    def append(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = filesystem(path)
+        fs.create_dir(inner, recursive=True)
+        filled = (part.select([f for f, c in zip(part.schema.names, part.columns, strict=True) if c.null_count < len(c)] or part.schema.names) for part in parts)
+        rows = ({k: v for k, v in row.items() if v is not None} for part in filled for at in range(0, part.num_rows, BATCH_ROWS) for row in part.slice(at, BATCH_ROWS).to_pylist())
+        row = next(rows, None)
+        while row is not None:
+            name, n = f"{inner}/.{uuid.uuid4().hex}.part", 0
+            with fs.open_output_stream(name) as out:
+                size = out.write(log_header())
+                while row is not None and (not n or size < log_bytes):
+                    size += out.write(log_record(row))
+                    n, row = n + 1, next(rows, None)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["name", "n"])
+
+    written = spans.mapInArrow(append, "name string, n long").collect()  # a row a log
+    fs, inner = filesystem(path)
+    fs.create_dir(inner, recursive=True)
+    job = uuid.uuid4().hex[:12]
+    for i, log in enumerate(written):
+        fs.move(log["name"], f"{inner}/{i:05d}-{job}.log")
+    return sum(log["n"] for log in written)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Spans of append logs, up to the first damaged record of each."""
     from ledgerframe.operators.spans import SPAN
@@ -318,12 +352,12 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for content in part.column(0):
-                rows, _ = recover_log(content.as_py())
-                for r in rows:
-                    r["payload"] = r["payload"].decode() if isinstance(r.get("payload"), bytes) else r.get("payload")
-                    r["parent_span_id"] = r.get("parent_span_id") or None
-                for i in range(0, len(rows), BATCH_ROWS):
-                    yield row_batch(rows[i : i + BATCH_ROWS], SPAN)
+                records = islice(log_records(content.as_py()), 1, None)  # without the header
+                while rows := [row for row, _ in islice(records, BATCH_ROWS)]:
+                    for r in rows:
+                        r["payload"] = r["payload"].decode() if isinstance(r.get("payload"), bytes) else r.get("payload")
+                        r["parent_span_id"] = r.get("parent_span_id") or None
+                    yield row_batch(rows, SPAN)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SPAN)
 
@@ -360,4 +394,4 @@ def record_at(data: bytes, index: int) -> dict:
     return RecordFile(data).record(index)
 
 
-__all__ = ["Source", "directory_index", "inspect", "read_log", "read_through_spark", "record_at", "register", "unsealed_pages", "unsealed_records"]
+__all__ = ["Source", "directory_index", "inspect", "read_log", "read_through_spark", "record_at", "register", "unsealed_pages", "unsealed_records", "write_log"]

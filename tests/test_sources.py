@@ -11,7 +11,7 @@ from ledgerframe.operators import registry
 from ledgerframe.operators.inference import infer_types
 from ledgerframe.operators.spans import SPAN, find_span, find_time, find_trace, ingest_json, live_view, seal, segment_statistics
 from ledgerframe.sources import codec, convert
-from ledgerframe.sources.recordfile import directory_index, inspect, read_log, read_through_spark, register
+from ledgerframe.sources.recordfile import directory_index, inspect, read_log, read_through_spark, register, write_log
 from ledgerframe.sources.textfmt import parse, plain, read_text_records, records
 
 TEXT = r'''
@@ -147,6 +147,19 @@ def test_spans(spark, tmp_path):
     assert back.schema == SPAN and back.count() == 9
 
 
+def test_logs_of_bounded_size(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id AS span_id", "id * 3 AS start_time_ns", "CASE WHEN id % 3 > 0 THEN concat('n', id) END AS name", "CASE WHEN id = 7 THEN '{}' END AS payload")
+    given = rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SPAN))
+    path = str(tmp_path / "logs")
+    assert write_log(given.repartition(2), path, 20_000) == 3000
+    sizes = [f.stat().st_size for f in (tmp_path / "logs").iterdir()]
+    assert len(sizes) > 6 and max(sizes) < 20_200 and sum(sizes) > 100_000
+    back = read_log(spark, path)
+    assert back.schema == SPAN and sorted(map(str, back.collect())) == sorted(map(str, given.collect()))
+    empty = str(tmp_path / "none")
+    assert write_log(given.limit(0), empty) == 0 and read_log(spark, empty).collect() == []
+
+
 def test_registry(spark, tmp_path):
     path, base = str(tmp_path / "schemas"), spark.range(1).schema
     more = spark.range(1).withColumn("x", F.lit("a")).schema
