@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.repeats import BLOB, blob_batch, blob_rows, joined, shard_of, spread
+from llm.repeats import BLOB, blob_batch, joined, spread
 from llm.storage import discard, largest, stored
 from llm.text_arrays import U64, Texts, Words, mix, pack, release, unpack
 
@@ -181,7 +181,7 @@ def _word_counts(training: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, size = [], 0
+            parts, size, least = [], 0, SWEEP_TOKENS // 4
             for _, part in Texts.of(batch.column(0)).chunks():
                 tokens = Tokens(part)
                 keys, first, n = np.unique(tokens.key, return_index=True, return_counts=True)
@@ -189,9 +189,10 @@ def _word_counts(training: DataFrame) -> DataFrame:
                 form[tokens.is_word] = _forms(tokens.words)
                 parts.append((keys, form[first], n))
                 size += len(keys)
-                if size > SWEEP_TOKENS:
+                if size > least:
                     parts = [merged(parts)]
                     size = len(parts[0][0])
+                    least = max(SWEEP_TOKENS // 4, 2 * size)
             if parts:
                 keys, forms, n = merged(parts)
                 yield _batch("key form n", keys.view(np.int64), forms, n)
@@ -223,6 +224,16 @@ def _bigrams(training: DataFrame, keys: np.ndarray) -> np.ndarray:
     return out.reshape(m, m)
 
 
+def counted_rows(cells: np.ndarray, shards: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, packed distinct cells with their counts) of ascending cells, which are counted a shard at a time."""
+    starts = np.array([-(-(s << 32) // shards) << 32 for s in range(shards)], U64)  # what shard_of sends to each shard begins here
+    bounds = np.append(np.searchsorted(cells, starts), len(cells))
+    for shard in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        part = cells[bounds[shard] : bounds[shard + 1]]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        yield shard, pack(part[first], np.diff(np.append(first, len(part))).astype(np.uint32))
+
+
 def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray, shards: int) -> DataFrame:
     """(shard, body): the coded neighbours of the words outside the core, with their counts, packed by shard of the words.
 
@@ -233,12 +244,10 @@ def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray, shard
         held, size, total = [], 0, np.zeros(AFTER * AFTER, np.int64)
 
         def flush() -> pa.RecordBatch:
-            cells = np.sort(np.concatenate([np.zeros(0, U64), *held]))
-            first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
-            n = np.diff(np.concatenate([first, [len(cells)]])).astype(np.uint32)
-            cells = cells[first]
+            cells = np.concatenate([np.zeros(0, U64), *held])
             held.clear()
-            return blob_batch(list(blob_rows(shard_of(cells, shards), shards, cells, n)))
+            cells.sort()
+            return blob_batch([*counted_rows(cells, shards)])
 
         for batch in batches:
             for _, part in Texts.of(batch.column(0)).chunks():
@@ -260,6 +269,7 @@ def _neighbours(training: DataFrame, model: WordClasses, core: np.ndarray, shard
                 size += int(at.sum())
                 if size > SWEEP_TOKENS:
                     yield flush()
+                    release()
                     size = 0
         yield flush()
         release()

@@ -129,7 +129,8 @@ class Texts:
 
     @staticmethod
     def of(column: pa.Array | pa.ChunkedArray) -> Texts:
-        column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+        if column.null_count:  # otherwise it would only be copied
+            column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):

@@ -1,12 +1,15 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from llm.brown_lm import exchange, score_texts
+from llm.brown_lm import counted_rows, exchange, score_texts
+from llm.repeats import shard_of
+from llm.text_arrays import unpack
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +68,22 @@ def test_rare_words_are_exchanged(spark):
 
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_cells_are_counted_in_little_memory():
+    """What shards get is what a count of all cells at once gives, without arrays as large as all cells."""
+    rng = np.random.default_rng(3)
+    cells = np.sort(np.concatenate([rng.integers(0, 2**64, 60_000, np.uint64).repeat(5), np.zeros(3, np.uint64), np.full(2, 2**64 - 1, np.uint64)]))
+    for shards in (64, 67, 1):
+        tracemalloc.start()
+        got = [*counted_rows(cells, shards)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        keys, n = np.unique(cells, return_counts=True)
+        of = shard_of(keys, shards)
+        assert [s for s, _ in got] == sorted({*of.tolist()})
+        for s, body in got:
+            k, m = unpack(body, "u8", "u4")
+            assert (k == keys[of == s]).all() and (m == n[of == s]).all()
+        assert shards == 1 or peak < cells.nbytes
+    assert [*counted_rows(cells[:0], 64)] == []
