@@ -40,6 +40,9 @@ class WordEncoder:
     large one when it comes to an eighth of it; ids are appended to a buffer that grows by doubling.
     """
 
+    #: Entries that are there from the first and come back when the others go.
+    kept = 0
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism; more threads cost CPU time only
         from tokenizers import Tokenizer
@@ -80,7 +83,7 @@ class WordEncoder:
                 entry = np.where(known[at] == keys, numbers[at], entry)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            if self.entries + len(new) > CACHE_WORDS and self.entries:
+            if self.entries + len(new) > CACHE_WORDS + self.kept and self.entries > self.kept:
                 self._clear()
                 return self.encode(words)
             texts = [words.word(i).decode("utf-8") for i in first[new].tolist()]

@@ -7,9 +7,10 @@ model the fold is Viterbi.  The model at hand is of kind BPE, whose segmentation
 highest total score, so for it the fold takes, again and again, the best edge that joins two adjacent
 segments (the leftmost of equals) - which is what the library's encoder does.
 
-Documents are encoded in tasks: the most frequent words (HEAD_WORDS, a proven bound) come from the
-relational lattice and are sent to all tasks; a word outside them is folded, by the same rule, where it
-is met, and kept in a bounded cache.  Characters outside the pieces become byte pieces.
+Documents are stored in blocks with their distinct words.  Every distinct word of up to FOLD_LENGTH
+characters goes through the relational lattice once, and each block meets the pieces of its words in a
+join.  Only longer words, whose cuts don't fit the 64 bits of the fold's state, are folded by the same
+rule in the block's task.  Characters outside the pieces become byte pieces.
 
 Defined results: null and empty text have no pieces; repeated rows are encoded one by one; text that
 itself holds the space mark U+2581 decodes to a space there, which round_trip reports as false.
@@ -18,7 +19,7 @@ itself holds the space mark U+2581 decodes to a space there, which round_trip re
 from __future__ import annotations
 
 import heapq
-import uuid
+import secrets
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.packing import WordEncoder
-from llm.storage import largest, stored
+from llm.storage import discard, stored
 from llm.text_arrays import PROCESS_KEY, Texts, content_hashes, gather_spans, release
 
 MARK = "▁"
-HEAD_WORDS = 1 << 15
-#: Tasks of the relational form.
-FOLD_TASKS = 48
+#: Text of the documents that meet their words' pieces together.
+BLOCK_BYTES = 8 << 20
+#: Least tasks of the relational form, and words of a task where there are more.
+FOLD_TASKS, FOLD_WORDS = 48, 20_000
 #: Words up to this length fold in the relational form, whose state is one 64-bit number.
 FOLD_LENGTH = 60
 
@@ -142,34 +144,35 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("id").cast("int").alias("id"), "score"))).alias("edges"))
 
 
-def _bits(mask: Column, start: Column, end: Column) -> Column:
-    """The bits of mask from start to end, both included."""
-    ones = F.expr("cast(-1 as bigint)")
-    return F.call_function("shiftrightunsigned", mask, start.cast("int")).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", ones, (end - start + 1).cast("int"))))
+def _ends(e: Column) -> Column:
+    """The bits of an edge's two ends."""
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, e["start"].cast("int")).bitwiseOR(F.call_function("shiftleft", one, e["end"].cast("int")))
+
+
+def _window(e: Column) -> Column:
+    """The bits from an edge's start to its end, both included."""
+    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), (e["end"] - e["start"] + 1).cast("int")) - 1, e["start"].cast("int"))
 
 
 def _bpe_cuts() -> Column:
     """Cuts of a word as bits: all at first; the best edge with one cut inside loses it, until there is none."""
-    one = F.lit(1).cast("long")
-    no_edge = F.expr("cast(null as struct<start:int,end:int,id:int,score:double>)")
+    many = F.filter("edges", lambda e: e["id"].isNotNull() & (e["end"] > e["start"] + 1))
+    joins = F.sort_array(F.transform(many, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), _ends(e).alias("ends"), _window(e).alias("window"))))
+    none = F.lit(0).cast("long")
 
-    def joins(mask: Column) -> Column:
-        def better(best: Column, e: Column) -> Column:
-            inside = _bits(mask, e["start"], e["end"])
-            free = (F.bit_count(inside) == 3) & (inside.bitwiseAND(one) == 1) & (_bits(mask, e["end"], e["end"]) == 1) & e["id"].isNotNull()
-            return F.when(free & (best.isNull() | (e["score"] > best["score"])), e).otherwise(best)
-
-        return F.aggregate("edges", no_edge, better)
+    def step(state: Column, _: Column) -> Column:
+        mask = state["mask"]
 
-    def step(mask: Column, _: Column) -> Column:
-        def cleared(e: Column) -> Column:
-            inner = F.call_function("shiftleft", one, (e["end"] - e["start"] - 1).cast("int")) - 1
-            return mask.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", inner, (e["start"] + 1).cast("int"))))
+        def first(inner: Column, e: Column) -> Column:  # joins are in order, so the first that is free is the best
+            free = (inner == 0) & (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["window"])) == 3)
+            return F.when(free, e["window"].bitwiseXOR(e["ends"])).otherwise(inner)
 
-        return F.coalesce(F.element_at(F.transform(F.array(joins(mask)), lambda e: F.when(e.isNull(), mask).otherwise(cleared(e))), 1), mask)
+        return F.struct(mask.bitwiseAND(F.bitwise_not(F.aggregate(state["joins"], none, first))).alias("mask"), state["joins"].alias("joins"))
 
-    every = F.call_function("shiftleft", one, (F.col("n") + 1).cast("int")) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.col("n")), every, step)
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") + 1).cast("int")) - 1
+    start = F.struct(every.alias("mask"), joins.alias("joins"))  # in the state, so that they are sorted once
+    return F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step)["mask"]
 
 
 def _viterbi_cuts() -> Column:
@@ -189,23 +192,20 @@ def _viterbi_cuts() -> Column:
     return F.element_at(states, -1)["cuts"].bitwiseOR(F.lit(1).cast("long"))
 
 
-def encode_words(words: DataFrame, pieces: Pieces, kind: str | None = None) -> DataFrame:
+def encode_words(words: DataFrame, pieces: Pieces, kind: str | None = None, tasks: int = FOLD_TASKS) -> DataFrame:
     """(word, ids) for each distinct word of up to FOLD_LENGTH characters, by the relational lattice."""
     # folding is work that the planner can't see in the size of the words, so they are dealt out first
-    short = words.where(F.char_length("word").between(1, FOLD_LENGTH)).select("word").repartition(FOLD_TASKS, "word")
+    short = words.where(F.char_length("word").between(1, FOLD_LENGTH)).select("word").repartition(tasks, "word")
     grouped = lattice(short, piece_table(words.sparkSession, pieces), pieces.longest)
     cut = grouped.withColumn("cuts", _bpe_cuts() if (kind or pieces.kind) == "bpe" else _viterbi_cuts())
-    places = cut.withColumn("at", F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("getbit", F.col("cuts"), i) == 1))
-    spans = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    known = F.transform(F.filter("edges", lambda e: e["id"].isNotNull()), lambda e: F.struct((e["start"] * 64 + e["end"]).alias("k"), e["id"].alias("v")))
+    path = F.filter("edges", lambda e: F.col("cuts").bitwiseAND(_window(e)) == _ends(e))  # edges are in order
 
-    def ids(s: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(F.col("word"), s["start"] + 1, s["end"] - s["start"]), "UTF-8"))
+    def ids(e: Column) -> Column:
+        raw = F.hex(F.encode(F.substring(F.col("word"), e["start"] + 1, e["end"] - e["start"]), "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + pieces.bytes_from)
-        found = F.element_at(F.map_from_entries(known), s["start"] * 64 + s["end"])
-        return F.when(found.isNotNull(), F.array(found)).otherwise(fallback)
+        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(fallback)
 
-    return places.select("word", F.flatten(F.transform(spans, ids)).alias("ids"))
+    return cut.select("word", F.flatten(F.transform(path, ids)).alias("ids"))
 
 
 class Chunks:
@@ -248,10 +248,8 @@ class Head:
     bounds: np.ndarray
 
     @staticmethod
-    def of(encoded: pa.Table) -> Head:
-        """From the columns word (with marks for spaces) and ids."""
-        words = Texts.of(pc.replace_substring(encoded["word"], MARK, " "))
-        ids = encoded["ids"].combine_chunks()
+    def of(surfaces: pa.Array, ids: pa.ListArray) -> Head:
+        words = Texts.of(surfaces)
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
         return Head(words.data, words.offsets, ids.flatten().to_numpy(zero_copy_only=False), bounds)
 
@@ -259,29 +257,27 @@ class Head:
 class PieceEncoder(WordEncoder):
     """A cache of words' ids that starts with the given ones."""
 
-    def __init__(self, pieces: Pieces, head: Head | None):
-        self.tokenizer, self.head = Folder(pieces), head
+    def __init__(self, pieces: Pieces, head: Head):
+        self.tokenizer, self.head, self.kept = Folder(pieces), head, len(head.offsets) - 1
         self._clear()
 
     def _clear(self) -> None:
         super()._clear()
-        if self.head:
-            h = self.head
-            keys = content_hashes(h.data, h.offsets[:-1], h.offsets[1:], PROCESS_KEY)
-            order = np.argsort(keys)
-            self._add(keys[order], [h.ids[a:b] for a, b in zip(h.bounds[order].tolist(), h.bounds[order + 1].tolist(), strict=True)])
+        h = self.head
+        keys = content_hashes(h.data, h.offsets[:-1], h.offsets[1:], PROCESS_KEY)
+        order = np.argsort(keys)
+        self._add(keys[order], [h.ids[a:b] for a, b in zip(h.bounds[order].tolist(), h.bounds[order + 1].tolist(), strict=True)])
 
 
-_encoders: dict[tuple, tuple[Pieces, PieceEncoder]] = {}
+_pieces: dict[str, Pieces] = {}
 
 
-def _encoder(path: str, label: str = "", head: Head | None = None) -> tuple[Pieces, PieceEncoder]:
-    """The encoder of a model with the head of that label; a process keeps the last one."""
-    if (path, label) not in _encoders:
-        _encoders.clear()
-        pieces = Pieces.load(path)
-        _encoders[path, label] = pieces, PieceEncoder(pieces, head)
-    return _encoders[path, label]
+def _model(path: str) -> Pieces:
+    """The pieces of a model; a process keeps the last one."""
+    if path not in _pieces:
+        _pieces.clear()
+        _pieces[path] = Pieces.load(path)
+    return _pieces[path]
 
 
 def decode(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -293,58 +289,80 @@ def decode(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     return body, offsets[bounds]
 
 
-def frequent_words(documents: DataFrame, text: str, most: int = HEAD_WORDS) -> DataFrame:
-    """The most frequent words, at most `most`, with a mark for each space."""
+def text_blocks(documents: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, body, words): runs of documents, packed, with their distinct words of up to FOLD_LENGTH characters."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in Texts.of(batch.column(0)).chunks(8 << 20):
-                chunks = Chunks(part)
-                _, first, n = np.unique(chunks.hash, return_index=True, return_counts=True)
-                many = np.argsort(-n)[:most]  # what is rare in every run of texts is not among the most frequent
-                words = [chunks.word(i).decode().replace(" ", MARK) for i in first[many]]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[many].astype(np.int64))], ["word", "n"])
-            release()
-
-    counts = documents.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return largest(stored(counts.where(F.char_length("word") <= FOLD_LENGTH), "words"), "n", most).select("word")
+            for at, part in Texts.of(batch.column(1)).chunks(block_bytes):
+                found: dict[str, None] = {}
+                for _, run in part.chunks():
+                    chunks = Chunks(run)
+                    first = np.unique(chunks.hash, return_index=True)[1]
+                    body, offsets = gather_spans(chunks.data, chunks.start[first], chunks.end[first])
+                    words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+                    words = words.filter(pc.less_equal(pc.utf8_length(words), FOLD_LENGTH))
+                    found.update(dict.fromkeys(words.to_pylist()))
+                sink = pa.BufferOutputStream()
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(at, part.n), batch.column(1).slice(at, part.n)], ["doc_id", "text"])
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows)
+                body = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), body, pa.array([[*found]], pa.list_(pa.string()))], ["block", "body", "words"])
+                release()
+
+    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(gather, "block long, body binary, words array<string>")
 
 
 def encode_documents(documents: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """doc_id, n_words, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), round_trip, and the ids if asked for."""
-    pieces = Pieces.load(model_path)
-    head = Head.of(encode_words(frequent_words(documents, text), pieces).toArrow())  # at most HEAD_WORDS rows
-    sent, label = documents.sparkSession.sparkContext.broadcast(head), uuid.uuid4().hex
+    pieces = _model(model_path)
+    blocks = stored(text_blocks(documents, text, doc_id), "blocks")
+    wanted = blocks.select("block", F.posexplode("words").alias("place", "word")).withColumn("word", F.translate("word", " ", MARK))
+    words = stored(wanted.select("word").distinct(), "words")
+    lexicon = stored(encode_words(words, pieces, tasks=max(FOLD_TASKS, words.count() // FOLD_WORDS)), "lexicon")
+    discard(words)
+    replies = wanted.join(lexicon, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("known"))
     schema = "doc_id long, n_words long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, encoder = _encoder(model_path, label, sent.value)
+        own = _model(model_path)
         for batch in batches:
-            for at, part in Texts.of(batch.column(1)).chunks():
-                chunks = Chunks(part)
-                ids, size = encoder.encode(chunks)
-                bounds = np.concatenate([[0], np.cumsum(size)])[chunks.bounds]
-                body, offsets = decode(ids, bounds, own)
-                if len(body) == len(chunks.data) and (body == chunks.data).all() and (offsets == chunks.offsets).all():
-                    same = np.ones(part.n, bool)
-                else:
-                    same = np.array([body[a:b].tobytes() == chunks.data[c:d].tobytes() for a, b, c, d in zip(offsets[:-1], offsets[1:], chunks.offsets[:-1], chunks.offsets[1:], strict=True)])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                columns = [batch.column(0).slice(at, part.n), pa.array(np.diff(chunks.bounds)), pa.array(np.diff(bounds)), pa.array(np.array(crcs, np.int64)), pa.array(same)]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip", "ids"][: len(columns)])
-            release()
-
-    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(encode, schema)
+            for k in range(batch.num_rows):
+                known = batch.column(2).slice(k, 1).flatten()
+                surfaces = batch.column(1).slice(k, 1).flatten().take(known.field("place")) if len(known) else pa.array([], pa.string())
+                found = known.field("ids") if len(known) else pa.array([], pa.list_(pa.int32()))
+                encoder = PieceEncoder(own, Head.of(surfaces, found))
+                rows = pa.ipc.open_stream(batch.column(0)[k].as_py()).read_all().combine_chunks()
+                numbers = rows.column(0).combine_chunks()
+                for at, part in Texts.of(rows.column(1)).chunks():
+                    yield encode_part(numbers.slice(at, part.n), part, encoder, own)
+                release()
+
+    def encode_part(numbers: pa.Array, part: Texts, encoder: PieceEncoder, own: Pieces) -> pa.RecordBatch:
+        chunks = Chunks(part)
+        ids, size = encoder.encode(chunks)
+        bounds = np.concatenate([[0], np.cumsum(size)])[chunks.bounds]
+        body, offsets = decode(ids, bounds, own)
+        if len(body) == len(chunks.data) and (body == chunks.data).all() and (offsets == chunks.offsets).all():
+            same = np.ones(part.n, bool)
+        else:
+            same = np.array([body[a:b].tobytes() == chunks.data[c:d].tobytes() for a, b, c, d in zip(offsets[:-1], offsets[1:], chunks.offsets[:-1], chunks.offsets[1:], strict=True)])
+        raw = memoryview(ids.astype("<u4").tobytes())
+        crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        columns = [numbers, pa.array(np.diff(chunks.bounds)), pa.array(np.diff(bounds)), pa.array(np.array(crcs, np.int64)), pa.array(same)]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip", "ids"][: len(columns)])
+
+    return blocks.join(replies, "block", "left").select("body", "words", "known").mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """doc_id and text of encoded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, _ = _encoder(model_path)
+        own = _model(model_path)
         for batch in batches:
             lists = batch.column(1)
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists.to_pylist()])]).astype(np.int64)

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from sentencepiece import SentencePieceProcessor
 
+import llm.sentencepiece_lattice as lattice_module
 from llm.sentencepiece_lattice import FOLD_LENGTH, MARK, Pieces, decode_documents, encode_documents, encode_words
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -47,3 +48,19 @@ def test_viterbi(spark):
 
 def test_empty(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_every_word_goes_through_the_lattice(spark, monkeypatch):
+    """Tasks fold no word of up to FOLD_LENGTH characters, however many distinct words there are."""
+    rows = [(i, " ".join(f"w{i * 400 + k:x}é" for k in range(400))) for i in range(100)]
+    sent = {}
+    made = lattice_module.encode_words
+
+    def counted(words, *args, **kwargs):
+        sent["n"] = words.count()
+        return made(words, *args, **kwargs)
+
+    monkeypatch.setattr(lattice_module, "encode_words", counted)
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), PATH, with_ids=True).collect()
+    library = SentencePieceProcessor(model_file=PATH)
+    assert sent["n"] == 40_000 and sorted((r.doc_id, list(r.ids)) for r in got) == [(i, library.encode(t)) for i, t in rows]
