@@ -5,12 +5,16 @@ of words the lattice is relational: substrings of bounded length are exploded, j
 table on equality, and grouped by word; a Spark higher-order aggregate folds the edges.  For a unigram
 model the fold is Viterbi.  The model at hand is of kind BPE, whose segmentation is not the one of
 highest total score, so for it the fold takes, again and again, the best edge that joins two adjacent
-segments (the leftmost of equals) - which is what the library's encoder does.
+segments (the leftmost of equals) - which is what the library's encoder does.  One pass over the edges,
+best first, does that as long as no join frees an edge that the pass has left behind.  Only pieces that
+are part of a better one can do so (`freeing`); where one does, the pass goes on edge by edge, each time
+the best of all.
 
-Documents are stored in blocks with their distinct words.  Every distinct word of up to FOLD_LENGTH
-characters goes through the relational lattice once, and each block meets the pieces of its words in a
-join.  Only longer words, whose cuts don't fit the 64 bits of the fold's state, are folded by the same
-rule in the block's task.  Characters outside the pieces become byte pieces.
+Every distinct word of up to FOLD_LENGTH characters of a block of documents goes through the relational
+lattice, and the block's packed text travels with one of its words, so nothing is shuffled or stored:
+the rows of a word come out of the joins one after another, and the words of a block do.  Only longer
+words, whose cuts don't fit the 64 bits of the fold's state, are folded by the same rule in the block's
+task.  Characters outside the pieces become byte pieces.
 
 Defined results: null and empty text have no pieces; repeated rows are encoded one by one; text that
 itself holds the space mark U+2581 decodes to a space there, which round_trip reports as false.
@@ -19,10 +23,11 @@ itself holds the space mark U+2581 decodes to a space there, which round_trip re
 from __future__ import annotations
 
 import heapq
-import secrets
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
+from itertools import pairwise
 from types import SimpleNamespace
 
 import numpy as np
@@ -32,14 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.packing import WordEncoder
-from llm.storage import discard, stored
 from llm.text_arrays import PROCESS_KEY, Texts, content_hashes, gather_spans, release
 
 MARK = "▁"
 #: Text of the documents that meet their words' pieces together.
-BLOCK_BYTES = 8 << 20
-#: Least tasks of the relational form, and words of a task where there are more.
-FOLD_TASKS, FOLD_WORDS = 48, 20_000
+BLOCK_BYTES = 32 << 20
+#: Tasks of the relational form of a table of words.
+FOLD_TASKS = 48
 #: Words up to this length fold in the relational form, whose state is one 64-bit number.
 FOLD_LENGTH = 60
 
@@ -77,6 +81,15 @@ class Pieces:
         bpe = len({*scores.values()}) > 1 and all(float(s).is_integer() for s in scores.values())
         return Pieces(ids, scores, first, surfaces, max(map(len, ids)), "bpe" if bpe else "unigram")
 
+    def crossings(self) -> np.ndarray:
+        """Whether a piece may cross from one character to the next, by the last byte of the one and the first of the other."""
+        out = np.zeros((256, 256), bool)
+        for piece in self.ids:
+            bytes_of = [(b" ", MARK.encode()) if c == MARK else (c.encode(),) for c in piece]
+            for a, b in pairwise(bytes_of):
+                out[np.ix_([x[-1] for x in a], [x[0] for x in b])] = True
+        return out
+
     def of_segments(self, segments: list[str]) -> list[int]:
         out: list[int] = []
         for s in segments:
@@ -128,51 +141,125 @@ class Pieces:
         return [p for p in parts if p is not None]
 
 
-def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, score): as many rows as the model has pieces."""
-    return spark.createDataFrame([(k, i, float(pieces.scores[k])) for k, i in pieces.ids.items()], "piece string, id int, score double")
-
+def freeing(scores: dict[str, float]) -> set[str]:
+    """Pieces that, joined to a character or another piece, make one that is as good or better."""
+    out = set()
+    for piece, score in scores.items():
+        for k in range(1, len(piece)):
+            a, b = piece[:k], piece[k:]
+            if (k == 1 or a in scores) and (len(b) == 1 or b in scores):
+                out |= {x for x in (a, b) if len(x) > 1 and scores[x] <= score}
+    return out
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): for each distinct word, the pieces that match at its places, as (start, end, id, score)."""
-    n = F.char_length("word")
-    starts = words.select("word", n.alias("n")).distinct().select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least("n", F.col("start") + longest))).alias("end"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
-    # the piece table is bounded by the model; left, so that words without any match stay
-    edges = spans.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("end") == F.col("start") + 1))
-    return edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("id").cast("int").alias("id"), "score"))).alias("edges"))
 
+def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """(match, id, key): as many rows as the model has pieces; key is a hash, by which lookups are fast."""
+    return spark.createDataFrame([*pieces.ids.items()], "match string, id int").withColumn("key", F.xxhash64("match"))
+
+
+EDGE = "start int, end int, id int, ends bigint, window bigint"
+JOIN = "place bigint, frees boolean, ends bigint, inner bigint"
+
+
+def lattice(words: DataFrame, pieces: Pieces, keep: Sequence[str] = ("word",)) -> DataFrame:
+    """(kept columns, word, n, edges, joins) for each row, in order: the pieces that match at the word's places and its
+    characters, by place; and those of more than one character, best first.  `ends` are the bits of an edge's two
+    ends, `inner` those between, `window` both."""
+    longest, names = pieces.longest, [*{"word": 0, **dict.fromkeys(keep)}]
+    # every span that a word can have, by its end: those of a word of n characters are the first ones
+    spans = [start | end << 6 for end in range(1, FOLD_LENGTH + 1) for start in range(max(0, end - longest), end)]
+    n = F.greatest(F.char_length("word"), F.lit(1))
+    inside = F.least(n, F.lit(longest))
+    count = F.expr("inside * (inside + 1) div 2 + (n - inside) * {}".format(longest))
+    sized = words.select(*names, n.alias("n"), inside.alias("inside")).select(*names, F.slice(F.lit(np.array(spans, np.int32)), F.lit(1), count.cast("int")).alias("spans"))
+    placed = sized.select(*names, F.explode_outer("spans").alias("span"))
+    start, end = F.col("span").bitwiseAND(63), F.shiftright("span", 6)
+    placed = placed.select("*", F.substring("word", start + 1, end - start).alias("piece"))
+    # the piece table is bounded by the model; left, so that characters without any match stay
+    table = F.broadcast(piece_table(words.sparkSession, pieces))
+    same = F.col("piece").startswith(F.col("match")) & F.col("match").startswith(F.col("piece"))  # `==` would be a second key
+    found = placed.join(table, (F.xxhash64("piece") == F.col("key")) & same, "left").where(F.col("id").isNotNull() | (end == start + 1))
+    edge = F.col("span").cast("long").bitwiseOR(F.shiftleft((F.coalesce("id", F.lit(-1)) + 1).cast("long"), 12))
+    # the first span is always an edge: it opens the word and brings its columns
+    rows = found.select(edge.alias("edge"), *(F.when(F.col("span") == spans[0], F.col(c)).alias(c) for c in keep))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*keep).schema)
+    score, frees = np.zeros(max(pieces.ids.values()) + 2), np.zeros(max(pieces.ids.values()) + 2, bool)
+    score[[i + 1 for i in pieces.ids.values()]] = [pieces.scores[k] for k in pieces.ids]
+    if pieces.kind == "bpe":
+        frees[[pieces.ids[k] + 1 for k in freeing(pieces.scores)]] = True
+    scored = pieces.kind != "bpe"  # only Viterbi adds scores up
+    grouped = partial(_grouped, opens=spans[0], score=score if scored else score[:0], rank=np.unique(-score, return_inverse=True)[1], frees=frees)
+    out = rows.mapInArrow(grouped, f"{types}, edges array<struct<{EDGE}{', score double' * scored}>>, joins array<struct<{JOIN}>>")
+    # the word itself need not travel with the edges: it is its surface with marks for spaces
+    out = out if "word" in keep else out.withColumn("word", F.translate("surface", " ", MARK))
+    return out.withColumn("n", F.char_length("word"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], opens: int, **model: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges, which come word after word, as one row a word."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        first = np.flatnonzero((batch.column(0).to_numpy() & 4095) == opens)
+        if len(first):  # a word may go on in the next batch
+            held.append(batch.slice(0, int(first[-1])))
+            yield from _words_of(held, opens, **model)
+            held = []
+        held.append(batch.slice(int(first[-1]) if len(first) else 0))
+    yield from _words_of(held, opens, **model)
+
+
+def _words_of(held: list[pa.RecordBatch], opens: int, score: np.ndarray, rank: np.ndarray, frees: np.ndarray) -> Iterator[pa.RecordBatch]:
+    held = [b for b in held if b.num_rows]
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    edge = rows.column(0).to_numpy()
+    start, end, piece = edge & 63, edge >> 6 & 63, edge >> 12
+    first = np.flatnonzero((edge & 4095) == opens)
+    word = np.cumsum((edge & 4095) == opens) - 1
+    one = np.int64(1)
+    ends = one << start | one << end
+    window = (one << end + 1) - (one << start)
+    ids = pa.array((piece - 1).astype(np.int32), mask=piece == 0)
+    parts = [pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), ids, pa.array(ends), pa.array(window)]
+    if len(score):
+        parts.append(pa.array(score[piece], mask=piece == 0))
+    edges = pa.ListArray.from_arrays(pa.array(np.append(first, len(edge)).astype(np.int32)), pa.StructArray.from_arrays(parts, ["start", "end", "id", "ends", "window", "score"][: len(parts)]))
+    joins = np.flatnonzero((piece > 0) & (end > start + 1))
+    place = rank[piece[joins]] << 6 | start[joins]
+    order = np.argsort(word[joins] << 40 | place, kind="stable")
+    joins, place = joins[order], place[order]
+    parts = [pa.array(place), pa.array(frees[piece[joins]]), pa.array(ends[joins]), pa.array((window ^ ends)[joins])]
+    bounds = np.searchsorted(word[joins], np.arange(len(first) + 1)).astype(np.int32)
+    best = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, ["place", "frees", "ends", "inner"]))
+    names = rows.schema.names[1:]
+    yield pa.RecordBatch.from_arrays([*(rows.column(name).take(pa.array(first)) for name in names), edges, best], [*names, "edges", "joins"])
 
-def _ends(e: Column) -> Column:
-    """The bits of an edge's two ends."""
-    one = F.lit(1).cast("long")
-    return F.call_function("shiftleft", one, e["start"].cast("int")).bitwiseOR(F.call_function("shiftleft", one, e["end"].cast("int")))
 
+def _bpe_cuts() -> Column:
+    """Cuts of a word as bits: all at first; the best edge with one cut inside loses it, until there is none."""
 
-def _window(e: Column) -> Column:
-    """The bits from an edge's start to its end, both included."""
-    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), (e["end"] - e["start"] + 1).cast("int")) - 1, e["start"].cast("int"))
+    def free(mask: Column, e: Column) -> Column:
+        return (F.bit_count(mask.bitwiseAND(e["inner"])) == 1) & (mask.bitwiseAND(e["ends"]) == e["ends"])
 
+    def joined(mask: Column, inner: Column) -> Column:
+        return mask.bitwiseAND(F.bitwise_not(inner))
 
-def _bpe_cuts() -> Column:
-    """Cuts of a word as bits: all at first; the best edge with one cut inside loses it, until there is none."""
-    many = F.filter("edges", lambda e: e["id"].isNotNull() & (e["end"] > e["start"] + 1))
-    joins = F.sort_array(F.transform(many, lambda e: F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), _ends(e).alias("ends"), _window(e).alias("window"))))
-    none = F.lit(0).cast("long")
+    def best_first(mask: Column) -> Column:
+        none = F.lit(0).cast("long")
 
-    def step(state: Column, _: Column) -> Column:
-        mask = state["mask"]
+        def best(m: Column) -> Column:  # joins are in order, so the first that is free is the best
+            return F.aggregate("joins", none, lambda found, e: F.when((found == 0) & free(m, e), e["inner"]).otherwise(found))
 
-        def first(inner: Column, e: Column) -> Column:  # joins are in order, so the first that is free is the best
-            free = (inner == 0) & (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["window"])) == 3)
-            return F.when(free, e["window"].bitwiseXOR(e["ends"])).otherwise(inner)
+        return F.aggregate(F.sequence(F.lit(1), F.col("n")), mask, lambda m, _: joined(m, best(m)))
 
-        return F.struct(mask.bitwiseAND(F.bitwise_not(F.aggregate(state["joins"], none, first))).alias("mask"), state["joins"].alias("joins"))
+    def step(mask: Column, e: Column) -> Column:
+        after = joined(mask, e["inner"])
+        left_behind = F.exists("joins", lambda j: (j["place"] <= e["place"]) & free(after, j))
+        return F.when(~free(mask, e), mask).when(e["frees"] & left_behind, best_first(after)).otherwise(after)
 
     every = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("n") + 1).cast("int")) - 1
-    start = F.struct(every.alias("mask"), joins.alias("joins"))  # in the state, so that they are sorted once
-    return F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step)["mask"]
+    return F.aggregate("joins", every, step)
 
 
 def _viterbi_cuts() -> Column:
@@ -192,26 +279,37 @@ def _viterbi_cuts() -> Column:
     return F.element_at(states, -1)["cuts"].bitwiseOR(F.lit(1).cast("long"))
 
 
-def encode_words(words: DataFrame, pieces: Pieces, kind: str | None = None, tasks: int = FOLD_TASKS) -> DataFrame:
-    """(word, ids) for each distinct word of up to FOLD_LENGTH characters, by the relational lattice."""
-    # folding is work that the planner can't see in the size of the words, so they are dealt out first
-    short = words.where(F.char_length("word").between(1, FOLD_LENGTH)).select("word").repartition(tasks, "word")
-    grouped = lattice(short, piece_table(words.sparkSession, pieces), pieces.longest)
-    cut = grouped.withColumn("cuts", _bpe_cuts() if (kind or pieces.kind) == "bpe" else _viterbi_cuts())
-    path = F.filter("edges", lambda e: F.col("cuts").bitwiseAND(_window(e)) == _ends(e))  # edges are in order
+def encode_words(words: DataFrame, pieces: Pieces, kind: str | None = None, tasks: int = FOLD_TASKS, in_place: bool = False) -> DataFrame:
+    """(word, ids) for each distinct word of up to FOLD_LENGTH characters, by the relational lattice.
+
+    In place, words are rows of text_blocks, and each of their parts gets a row (surface, body, ids) in the same order.
+    """
+    keep = ["surface", "body"] if in_place else ["word"]
+    if in_place:
+        words = words.select(F.posexplode("parts").alias("k", "surface"), F.size("parts").alias("size"), "body")
+        words = words.select(F.translate("surface", " ", MARK).alias("word"), "surface", F.when(F.col("k") == F.col("size") - 1, F.col("body")).alias("body"))
+    else:
+        # folding is work that the planner can't see in the size of the words, so they are dealt out first
+        words = words.where(F.char_length("word").between(1, FOLD_LENGTH)).select("word").repartition(tasks, "word").distinct()
+    kind = kind or pieces.kind
+    grouped = lattice(words, pieces, keep)
+    # cuts are bound to a name by a list of one: as a column, they would be folded anew for each edge
+    bound = F.array(_bpe_cuts() if kind == "bpe" else _viterbi_cuts())
+    path = F.transform(bound, lambda cuts: F.filter("edges", lambda e: cuts.bitwiseAND(e["window"]) == e["ends"]))[0]  # edges are in order
 
     def ids(e: Column) -> Column:
         raw = F.hex(F.encode(F.substring(F.col("word"), e["start"] + 1, e["end"] - e["start"]), "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(1), F.length(raw), F.lit(2)), lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + pieces.bytes_from)
         return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(fallback)
 
-    return cut.select("word", F.flatten(F.transform(path, ids)).alias("ids"))
+    return grouped.select(*keep, F.flatten(F.transform(path, ids)).alias("ids"))
 
 
 class Chunks:
-    """The words of texts as the pieces see them: a space before each text, cut at spaces and line feeds."""
+    """The words of texts as the pieces see them: a space before each text, cut at spaces and line feeds; and again
+    where no piece crosses, if `crossings` tell.  n_words counts the former."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, crossings: np.ndarray | None = None):
         filled = np.diff(texts.offsets) > 0
         self.data = np.insert(texts.data, texts.offsets[:-1][filled], 32)
         self.offsets = texts.offsets + np.concatenate([[0], np.cumsum(filled)])
@@ -219,6 +317,9 @@ class Chunks:
         opens = np.zeros(len(self.data) + 1, bool)
         opens[self.offsets] = True
         opens[1:-1] |= space[1:] & ~space[:-1] | line[1:] | line[:-1]
+        self.n_words = np.diff(np.concatenate([[0], np.cumsum(opens[:-1])])[self.offsets])
+        if crossings is not None:
+            opens[1:-1] |= ~crossings[self.data[:-1], self.data[1:]] & (self.data[1:] & 0xC0 != 0x80)
         self.start = np.flatnonzero(opens[:-1])
         self.end = np.append(self.start[1:], len(self.data))[: len(self.start)]
         self.bounds = np.searchsorted(self.start, self.offsets)
@@ -266,7 +367,9 @@ class PieceEncoder(WordEncoder):
         h = self.head
         keys = content_hashes(h.data, h.offsets[:-1], h.offsets[1:], PROCESS_KEY)
         order = np.argsort(keys)
-        self._add(keys[order], [h.ids[a:b] for a, b in zip(h.bounds[order].tolist(), h.bounds[order + 1].tolist(), strict=True)])
+        self.tables[0] = (keys[order], order.astype(np.int32))
+        self.where, self.size, self.entries = h.bounds[:-1], np.diff(h.bounds).astype(np.int32), len(keys)
+        self.ids, self.used = h.ids.astype(np.uint32), len(h.ids)
 
 
 _pieces: dict[str, Pieces] = {}
@@ -289,58 +392,76 @@ def decode(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> tuple[np.ndar
     return body, offsets[bounds]
 
 
-def text_blocks(documents: DataFrame, text: str, doc_id: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, body, words): runs of documents, packed, with their distinct words of up to FOLD_LENGTH characters."""
+def parts_of(words: pa.Array, crossings: np.ndarray) -> pa.ListArray:
+    """Of each word the parts of up to FOLD_LENGTH characters, between places where no piece crosses, that no word before has."""
+    texts = Texts.of(words)
+    data = texts.data
+    opens = np.zeros(len(data) + 1, bool)
+    opens[1:-1] = ~crossings[data[:-1], data[1:]] & (data[1:] & 0xC0 != 0x80)
+    opens[texts.offsets] = True
+    start = np.flatnonzero(opens[:-1])
+    end = np.append(start[1:], len(data))[: len(start)]
+    first = np.sort(np.unique(content_hashes(data, start, end, PROCESS_KEY), return_index=True)[1])
+    body, offsets = gather_spans(data, start[first], end[first])
+    parts = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+    short = pc.less_equal(pc.utf8_length(parts), FOLD_LENGTH)
+    bounds = np.searchsorted(start[first][short.to_numpy(zero_copy_only=False)], texts.offsets)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), parts.filter(short).cast(pa.string()))
+
+
+def text_blocks(documents: DataFrame, text: str, doc_id: str, crossings: np.ndarray, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(parts, body): a row for each distinct word of each run of documents, with those of its parts that no row
+    before has; the last has one part at least, if an empty one, and the packed documents."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in Texts.of(batch.column(1)).chunks(block_bytes):
-                found: dict[str, None] = {}
+                found = [pa.array([], pa.large_string())]
                 for _, run in part.chunks():
                     chunks = Chunks(run)
                     first = np.unique(chunks.hash, return_index=True)[1]
                     body, offsets = gather_spans(chunks.data, chunks.start[first], chunks.end[first])
-                    words = pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
-                    words = words.filter(pc.less_equal(pc.utf8_length(words), FOLD_LENGTH))
-                    found.update(dict.fromkeys(words.to_pylist()))
+                    found.append(pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(body)]))
+                parts = parts_of(pc.unique(pa.concat_arrays(found)), crossings)
+                if not len(parts) or not len(parts[-1]):
+                    parts = pa.concat_arrays([parts.slice(0, max(len(parts) - 1, 0)), pa.array([[""]], pa.list_(pa.string()))])
                 sink = pa.BufferOutputStream()
                 rows = pa.RecordBatch.from_arrays([batch.column(0).slice(at, part.n), batch.column(1).slice(at, part.n)], ["doc_id", "text"])
                 with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(rows)
-                body = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([secrets.randbits(63)]), body, pa.array([[*found]], pa.list_(pa.string()))], ["block", "body", "words"])
+                body = pa.concat_arrays([pa.nulls(len(parts) - 1, pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())])
+                yield pa.RecordBatch.from_arrays([parts, body], ["parts", "body"])
                 release()
 
-    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(gather, "block long, body binary, words array<string>")
+    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(gather, "parts array<string>, body binary")
 
 
 def encode_documents(documents: DataFrame, model_path: str, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """doc_id, n_words, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids), round_trip, and the ids if asked for."""
-    pieces = _model(model_path)
-    blocks = stored(text_blocks(documents, text, doc_id), "blocks")
-    wanted = blocks.select("block", F.posexplode("words").alias("place", "word")).withColumn("word", F.translate("word", " ", MARK))
-    words = stored(wanted.select("word").distinct(), "words")
-    lexicon = stored(encode_words(words, pieces, tasks=max(FOLD_TASKS, words.count() // FOLD_WORDS)), "lexicon")
-    discard(words)
-    replies = wanted.join(lexicon, "word").groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("known"))
+    crossings = _model(model_path).crossings()
+    folded = encode_words(text_blocks(documents, text, doc_id, crossings), _model(model_path), in_place=True)
     schema = "doc_id long, n_words long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _model(model_path)
+        held: list[pa.RecordBatch] = []  # the block's words so far
         for batch in batches:
-            for k in range(batch.num_rows):
-                known = batch.column(2).slice(k, 1).flatten()
-                surfaces = batch.column(1).slice(k, 1).flatten().take(known.field("place")) if len(known) else pa.array([], pa.string())
-                found = known.field("ids") if len(known) else pa.array([], pa.list_(pa.int32()))
-                encoder = PieceEncoder(own, Head.of(surfaces, found))
-                rows = pa.ipc.open_stream(batch.column(0)[k].as_py()).read_all().combine_chunks()
+            at = 0
+            for last in np.flatnonzero(batch.column(2).is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held.append(batch.slice(at, last + 1 - at))
+                at = last + 1
+                encoder = PieceEncoder(own, Head.of(*(pa.concat_arrays([b.column(i) for b in held]) for i in range(2))))
+                held.clear()
+                rows = pa.ipc.open_stream(batch.column(2)[last].as_py()).read_all().combine_chunks()
                 numbers = rows.column(0).combine_chunks()
-                for at, part in Texts.of(rows.column(1)).chunks():
-                    yield encode_part(numbers.slice(at, part.n), part, encoder, own)
+                for k, part in Texts.of(rows.column(1)).chunks():
+                    yield encode_part(numbers.slice(k, part.n), part, encoder, own)
                 release()
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
 
     def encode_part(numbers: pa.Array, part: Texts, encoder: PieceEncoder, own: Pieces) -> pa.RecordBatch:
-        chunks = Chunks(part)
+        chunks = Chunks(part, crossings)
         ids, size = encoder.encode(chunks)
         bounds = np.concatenate([[0], np.cumsum(size)])[chunks.bounds]
         body, offsets = decode(ids, bounds, own)
@@ -350,12 +471,12 @@ def encode_documents(documents: DataFrame, model_path: str, text: str = "text",
             same = np.array([body[a:b].tobytes() == chunks.data[c:d].tobytes() for a, b, c, d in zip(offsets[:-1], offsets[1:], chunks.offsets[:-1], chunks.offsets[1:], strict=True)])
         raw = memoryview(ids.astype("<u4").tobytes())
         crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        columns = [numbers, pa.array(np.diff(chunks.bounds)), pa.array(np.diff(bounds)), pa.array(np.array(crcs, np.int64)), pa.array(same)]
+        columns = [numbers, pa.array(chunks.n_words), pa.array(np.diff(bounds)), pa.array(np.array(crcs, np.int64)), pa.array(same)]
         if with_ids:
             columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_pieces", "ids_crc32", "round_trip", "ids"][: len(columns)])
 
-    return blocks.join(replies, "block", "left").select("body", "words", "known").mapInArrow(encode, schema)
+    return folded.select("surface", "ids", "body").mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:

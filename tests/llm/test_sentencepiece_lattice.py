@@ -64,3 +64,30 @@ def test_every_word_goes_through_the_lattice(spark, monkeypatch):
     got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), PATH, with_ids=True).collect()
     library = SentencePieceProcessor(model_file=PATH)
     assert sent["n"] == 40_000 and sorted((r.doc_id, list(r.ids)) for r in got) == [(i, library.encode(t)) for i, t in rows]
+
+
+def test_nothing_is_shuffled_or_stored_and_a_word_is_folded_once(spark, monkeypatch):
+    monkeypatch.setattr("llm.storage.fresh_path", lambda *_: 1 / 0)
+    plan = encode_documents(spark.createDataFrame([(1, "a word")], "doc_id long, text string"), PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange SinglePartition" not in plan
+    # with the fold inside the filter of edges, it was done again for each edge
+    cuts = "aggregate(joins"
+    assert cuts in plan and plan.index(cuts) < plan.index("filter(edges")
+
+
+def test_a_join_that_frees_a_better_one(spark):
+    scores = {"a": -9.0, "b": -9.0, "c": -9.0, "d": -9.0, "bc": -2.0, "abc": -1.0, "cd": -3.0, "abcd": -4.0, "aa": -5.0}
+    pieces = Pieces({k: i for i, k in enumerate(scores)}, scores, 100, [k.encode() for k in scores], 4, "bpe")
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choices("abcdé", k=rng.randrange(1, 14))) for _ in range(400)} | {"abcd", "dabc", "aaaaa", "abc" * 20})
+    got = {r.word: list(r.ids) for r in encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
+    assert "bc" in lattice_module.freeing(scores) and "aa" not in lattice_module.freeing(scores)
+    assert got == {w: pieces.fold(w) for w in words}
+
+
+def test_words_are_cut_where_no_piece_crosses(spark):
+    rows = [(1, "no,yes no.yes ((x))###y 12.34 ñandú—é," + "ab,." * 40), (2, ""), (3, None), (4, "z" * 70), (5, "▁a, ▁,a")]
+    got = encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), PATH, with_ids=True).collect()
+    library = SentencePieceProcessor(model_file=PATH)
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == [(i, library.encode(t or "")) for i, t in rows]
+    assert {r.doc_id: r.n_words for r in got} == {1: 5, 2: 0, 3: 0, 4: 1, 5: 2}
