@@ -2,7 +2,7 @@
 
 Words are split where no piece can cross: before a run of spaces and around line feeds.  For a table
 of words the lattice is relational: substrings of bounded length are exploded, joined to the piece
-table on equality, and grouped by word; a Spark higher-order aggregate folds the edges.  For a unigram
+table on equality, and grouped by word with its characters; a Spark higher-order aggregate folds the edges.  For a unigram
 model the fold is Viterbi.  The model at hand is of kind BPE, whose segmentation is not the one of
 highest total score, so for it the fold takes, again and again, the best edge that joins two adjacent
 segments (the leftmost of equals) - which is what the library's encoder does.  One pass over the edges,
@@ -166,29 +166,34 @@ def lattice(words: DataFrame, pieces: Pieces, keep: Sequence[str] = ("word",)) -
     characters, by place; and those of more than one character, best first.  `ends` are the bits of an edge's two
     ends, `inner` those between, `window` both."""
     longest, names = pieces.longest, [*{"word": 0, **dict.fromkeys(keep)}]
-    # every span that a word can have, by its end: those of a word of n characters are the first ones
-    spans = [start | end << 6 for end in range(1, FOLD_LENGTH + 1) for start in range(max(0, end - longest), end)]
+    # the first character, then every longer span that a word can have, by its end: those of a word of n characters are the first ones
+    spans = [64, *(start | end << 6 for end in range(2, FOLD_LENGTH + 1) for start in range(max(0, end - longest), end - 1))]
     n = F.greatest(F.char_length("word"), F.lit(1))
     inside = F.least(n, F.lit(longest))
-    count = F.expr("inside * (inside + 1) div 2 + (n - inside) * {}".format(longest))
+    count = F.expr("inside * (inside + 1) div 2 + (n - inside) * {} - n + 1".format(longest))
     sized = words.select(*names, n.alias("n"), inside.alias("inside")).select(*names, F.slice(F.lit(np.array(spans, np.int32)), F.lit(1), count.cast("int")).alias("spans"))
     placed = sized.select(*names, F.explode_outer("spans").alias("span"))
     start, end = F.col("span").bitwiseAND(63), F.shiftright("span", 6)
     placed = placed.select("*", F.substring("word", start + 1, end - start).alias("piece"))
-    # the piece table is bounded by the model; left, so that characters without any match stay
+    # the piece table is bounded by the model; left, so that every word has the row that opens it
     table = F.broadcast(piece_table(words.sparkSession, pieces))
     same = F.col("piece").startswith(F.col("match")) & F.col("match").startswith(F.col("piece"))  # `==` would be a second key
-    found = placed.join(table, (F.xxhash64("piece") == F.col("key")) & same, "left").where(F.col("id").isNotNull() | (end == start + 1))
+    found = placed.join(table, (F.xxhash64("piece") == F.col("key")) & same, "left").where(F.col("id").isNotNull() | (F.col("span") == spans[0]))
     edge = F.col("span").cast("long").bitwiseOR(F.shiftleft((F.coalesce("id", F.lit(-1)) + 1).cast("long"), 12))
-    # the first span is always an edge: it opens the word and brings its columns
+    # the first span opens the word and brings its columns
     rows = found.select(edge.alias("edge"), *(F.when(F.col("span") == spans[0], F.col(c)).alias(c) for c in keep))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.select(*keep).schema)
     score, frees = np.zeros(max(pieces.ids.values()) + 2), np.zeros(max(pieces.ids.values()) + 2, bool)
     score[[i + 1 for i in pieces.ids.values()]] = [pieces.scores[k] for k in pieces.ids]
     if pieces.kind == "bpe":
         frees[[pieces.ids[k] + 1 for k in freeing(pieces.scores)]] = True
+    single = {ord(k): i for k, i in pieces.ids.items() if len(k) == 1}
+    if "word" not in keep:  # spaces stand for marks
+        single |= {32: single[ord(MARK)]} if MARK in pieces.ids else {}
+    chars = np.array(sorted(single), np.uint32)
+    singles = {"chars": np.append(chars, np.uint32(2**32 - 1)), "char_piece": np.array([*(single[c] + 1 for c in chars.tolist()), 0])}
     scored = pieces.kind != "bpe"  # only Viterbi adds scores up
-    grouped = partial(_grouped, opens=spans[0], score=score if scored else score[:0], rank=np.unique(-score, return_inverse=True)[1], frees=frees)
+    grouped = partial(_grouped, opens=spans[0], score=score if scored else score[:0], rank=np.unique(-score, return_inverse=True)[1], frees=frees, **singles)
     out = rows.mapInArrow(grouped, f"{types}, edges array<struct<{EDGE}{', score double' * scored}>>, joins array<struct<{JOIN}>>")
     # the word itself need not travel with the edges: it is its surface with marks for spaces
     out = out if "word" in keep else out.withColumn("word", F.translate("surface", " ", MARK))
@@ -208,15 +213,27 @@ def _grouped(batches: Iterator[pa.RecordBatch], opens: int, **model: np.ndarray)
     yield from _words_of(held, opens, **model)
 
 
-def _words_of(held: list[pa.RecordBatch], opens: int, score: np.ndarray, rank: np.ndarray, frees: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _words_of(held: list[pa.RecordBatch], opens: int, score: np.ndarray, rank: np.ndarray, frees: np.ndarray, chars: np.ndarray, char_piece: np.ndarray) -> Iterator[pa.RecordBatch]:
     held = [b for b in held if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     edge = rows.column(0).to_numpy()
+    opening = (edge & 4095) == opens
+    first, word = np.flatnonzero(opening), (np.cumsum(opening) - 1)[~opening]
+    names, edge = rows.schema.names[1:], edge[~opening]
+    kept = [rows.column(name).take(pa.array(first)) for name in names]
+    # characters are edges too, with a piece or not
+    texts = Texts.of(kept[0])
+    code = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    size = np.diff(np.concatenate([[0], np.cumsum(texts.data & 0xC0 != 0x80)])[texts.offsets])
+    at = np.searchsorted(chars, code)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    word = np.concatenate([word, np.repeat(np.arange(len(first)), size)])
+    edge = np.concatenate([edge, place | place + 1 << 6 | np.where(chars[at] == code, char_piece[at], 0) << 12])
+    order = np.argsort(word << 12 | edge & 4095)
+    word, edge = word[order], edge[order]
     start, end, piece = edge & 63, edge >> 6 & 63, edge >> 12
-    first = np.flatnonzero((edge & 4095) == opens)
-    word = np.cumsum((edge & 4095) == opens) - 1
     one = np.int64(1)
     ends = one << start | one << end
     window = (one << end + 1) - (one << start)
@@ -224,7 +241,7 @@ def _words_of(held: list[pa.RecordBatch], opens: int, score: np.ndarray, rank: n
     parts = [pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), ids, pa.array(ends), pa.array(window)]
     if len(score):
         parts.append(pa.array(score[piece], mask=piece == 0))
-    edges = pa.ListArray.from_arrays(pa.array(np.append(first, len(edge)).astype(np.int32)), pa.StructArray.from_arrays(parts, ["start", "end", "id", "ends", "window", "score"][: len(parts)]))
+    edges = pa.ListArray.from_arrays(pa.array(np.searchsorted(word, np.arange(len(first) + 1)).astype(np.int32)), pa.StructArray.from_arrays(parts, ["start", "end", "id", "ends", "window", "score"][: len(parts)]))
     joins = np.flatnonzero((piece > 0) & (end > start + 1))
     place = rank[piece[joins]] << 6 | start[joins]
     order = np.argsort(word[joins] << 40 | place, kind="stable")
@@ -232,8 +249,7 @@ def _words_of(held: list[pa.RecordBatch], opens: int, score: np.ndarray, rank: n
     parts = [pa.array(place), pa.array(frees[piece[joins]]), pa.array(ends[joins]), pa.array((window ^ ends)[joins])]
     bounds = np.searchsorted(word[joins], np.arange(len(first) + 1)).astype(np.int32)
     best = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(parts, ["place", "frees", "ends", "inner"]))
-    names = rows.schema.names[1:]
-    yield pa.RecordBatch.from_arrays([*(rows.column(name).take(pa.array(first)) for name in names), edges, best], [*names, "edges", "joins"])
+    yield pa.RecordBatch.from_arrays([*kept, edges, best], [*names, "edges", "joins"])
 
 
 def _bpe_cuts() -> Column:
